@@ -10,58 +10,72 @@ shrinks with the bucket's size (8192 documents by default).
 
 from __future__ import annotations
 
+import json
 import math
-import zlib
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, utf8
+from .common import ship
 
 SEQUENCE_LENGTH = 1024
 SEPARATOR = 2
 DOCS_PER_BUCKET = 8192
 
-#: White space as Unicode's White_Space property has it (which the tokenizer's splitter uses).
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The byte-level tokenizer's own splitting pattern.
-_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Spellings that a worker remembers; at the bound it starts afresh.
-_REMEMBERED = 400_000
+#: Texts with a run of one kind of character longer than this go to ``tokenizers``, whose splitter does not backtrack over it.
+_LONG_RUN = 20_000
 
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[str, Callable[[str], bytes]] = {}
 
 
-class WordEncoder(dict):
-    """Bytes of the 32-bit little-endian ids of each pre-token; encodes with ``tokenizers`` what it has not seen."""
+def _byte_of_letter() -> dict[str, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others, in order, from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
-    def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their spellings in a text are ordinary text
-        self.pieces = regex.compile(_PIECES).findall
-        self.longest = 64
 
-    def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= self.longest:
-            self[word] = ids
-        return ids
+def _as_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The vocabulary of a byte-level BPE file as ranks, if its ids follow the order of its merges; else None."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if model.get("type") != "BPE" or not plain or spec.get("normalizer") or model.get("ignore_merges"):
+        return None
+    vocab, letters = model["vocab"], _byte_of_letter()
+    joined = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    if joined != sorted(set(joined)) or (joined and joined[0] < 256):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", ())}
+    ranks = {bytes(letters[c] for c in token): k for token, k in vocab.items() if token not in special}
+    return ranks if len(ranks) == 256 + len(joined) else None
 
-    def encode(self, text: str) -> bytes:
-        if len(self) > _REMEMBERED:
-            self.clear()
-        return b"".join(map(self.__getitem__, self.pieces(text)))
 
+def encoder(path: str) -> Callable[[str], bytes]:
+    """Text to the bytes of its unsigned little-endian 32-bit ids; spellings of special tokens are ordinary text.
 
-def encoder(path: str) -> WordEncoder:
+    ``path`` is a file of the ``tokenizers`` library. Where its ids follow its merges, ``tiktoken`` finds the same ids in a fifth of
+    the time.
+    """
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(path)
+        slow.encode_special_tokens = True
+        by_tokenizers = lambda text: array("I", slow.encode(text, add_special_tokens=False).ids).tobytes()
+        with open(path, encoding="utf-8") as f:
+            ranks = _as_ranks(json.load(f))
+        if ranks is None:
+            _encoders[path] = by_tokenizers
+        else:
+            import tiktoken
+
+            pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+            fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            long_run = re.compile(rf"\s{{{_LONG_RUN}}}|[^\W\d_]{{{_LONG_RUN}}}|\d{{{_LONG_RUN}}}|[^\s\w]{{{_LONG_RUN}}}").search
+            _encoders[path] = lambda text: by_tokenizers(text) if len(text) >= _LONG_RUN and long_run(text) else array("I", fast(text)).tobytes()
     return _encoders[path]
 
 
@@ -143,7 +157,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE_LENGT
     end = array("I", [separator]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
