@@ -28,6 +28,7 @@ REPLICAS = 3
 REPLICA_RATIO = 1.05
 QUERY_RATIO = 1.15
 LEAST_CANDIDATES = 8192
+FIRST_CANDIDATES = 2048
 DEGREE = 24
 BLOCK = 2048
 
@@ -131,8 +132,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score): the k largest products of each query, ties to the smaller vec_id, its own row left out.
+def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray, k: int, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score): the k largest products of each query at or over its bar, ties to the smaller vec_id, its own row left out.
 
     A matrix product finds who may be among them; their scores are then summed in one fixed order, so that equal vectors tie.
     """
@@ -141,21 +142,26 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, vec
     s = queries @ vectors.T
     s[query_ids[:, None] == vec_ids[None, :]] = -np.inf
     cut = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-    cut = cut - 1e-9 * np.maximum(1, np.abs(cut))
+    cut = np.maximum(cut, bars)
+    cut = np.where(np.isfinite(cut), cut - 1e-9 * np.maximum(1, np.abs(np.where(np.isfinite(cut), cut, 0))), cut)
     out_q, out_v, out_s = [], [], []
-    for i, q in enumerate(queries):
+    for i in np.flatnonzero(s.max(axis=1) >= cut):
+        q = queries[i]
         at = np.flatnonzero((s[i] >= cut[i]) & (s[i] > -np.inf))
         exact = (vectors[at] * q).sum(1)
         order = np.lexsort((vec_ids[at], -exact))[:k]
         out_q.append(np.full(len(order), query_ids[i]))
         out_v.append(vec_ids[at][order])
         out_s.append(exact[order])
+    if not out_q:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 20, list_size: int = LIST_SIZE, max_lists: int = MAX_LISTS, fit_vectors: int = FIT_VECTORS,
-    replicas: int = REPLICAS, replica_ratio: float = REPLICA_RATIO, query_ratio: float = QUERY_RATIO, least_candidates: int = LEAST_CANDIDATES, block: int = BLOCK,
+    replicas: int = REPLICAS, replica_ratio: float = REPLICA_RATIO, query_ratio: float = QUERY_RATIO, least_candidates: int = LEAST_CANDIDATES,
+    first_candidates: int = FIRST_CANDIDATES, block: int = BLOCK,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` its ``k`` nearest found rows of ``vectors``, its own left out.
 
@@ -215,24 +221,33 @@ def search(
             chosen = [c.select(np.append(row, 0.0), query_ratio, least_candidates) for row in x]
             at = np.repeat(np.arange(len(x)), [len(lists) for lists in chosen])
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["list", "query_id", "query"])
-
-    probes = materialize(q.mapInArrow(visit, "list long, query_id long, query array<double>"), "probes")
-    asked = probes.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
-    held = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
-    grid = held.withColumnRenamed("n", "held").join(asked.withColumnRenamed("n", "asked"), "list")
-    grid = grid.select("list", F.ceil(F.col("held") / block).alias("vs"), F.ceil(F.col("asked") / block).alias("qs"))
+                # the nearest lists come first: what they hold sets a bar for the others
+                later = np.concatenate([np.cumsum(c.sizes[lists]) - c.sizes[lists] >= first_candidates for lists in chosen])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen)), pa.array(later), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["list", "later", "query_id", "query"])
+
+    probes = materialize(q.mapInArrow(visit, "list long, later boolean, query_id long, query array<double>"), "probes")
+    near = materialize(_top(_compared(postings, probes.where("not later").withColumn("bar", F.lit(float("-inf"))), k, block), k), "near")
+    bars = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+    far = probes.where("later").join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    rest = _compared(postings, far, k, block)
+    return _top(near.select("query_id", "vec_id", "score").unionByName(rest), k)
+
+
+def _compared(postings: DataFrame, probes: DataFrame, k: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best at or over its bar for each query in each block of each list that it visits."""
+    asked = probes.groupBy("list").agg(F.count(F.lit(1)).alias("asked"))
+    held = postings.groupBy("list").agg(F.count(F.lit(1)).alias("held"))
+    grid = held.join(asked, "list").select("list", F.ceil(F.col("held") / block).alias("vs"), F.ceil(F.col("asked") / block).alias("qs"))
     grid = F.broadcast(grid)  # a row a list, at most max_lists
     here = postings.join(grid, "list").withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("vs"))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)))
     there = probes.join(grid, "list").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qs"))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vs") - 1)))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b, s = best_of(_matrix(right.column("query")), right.column("query_id").to_numpy(), _matrix(left.column("embedding")), left.column("vec_id").to_numpy(), k)
+        a, b, s = best_of(_matrix(right.column("query")), right.column("query_id").to_numpy(), _matrix(left.column("embedding")), left.column("vec_id").to_numpy(), k, right.column("bar").to_numpy())
         return pa.table({"query_id": a, "vec_id": b, "score": s})
 
     keys = ["list", "vb", "qb"]
-    scored = here.select(*keys, "vec_id", "embedding").groupBy(*keys).cogroup(there.select(*keys, "query_id", "query").groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    return _top(scored, k)
+    return here.select(*keys, "vec_id", "embedding").groupBy(*keys).cogroup(there.select(*keys, "query_id", "query", "bar").groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
