@@ -154,9 +154,35 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
 
-def spanning_links(codes: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, bits) of a least spanning forest of the links within one set of fingerprints (Prim)."""
-    n = len(codes)
+def first_shared(x: np.ndarray, y: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Number of the bit whose key is the first of those that each pair of fingerprints shares; 4095 if none."""
+    z = x ^ y
+    first = np.full(z.shape[:-1], 4095, np.int64)
+    cuts = [64 * k // scheme.segments for k in range(scheme.segments + 1)]
+    for lane in range(scheme.lanes - 1, -1, -1):
+        for start, stop in reversed(list(zip(cuts, cuts[1:], strict=False))):
+            value = (z[..., lane] >> np.uint64(start)) & np.uint64((1 << (stop - start)) - 1)
+            bit = 64 * lane + start + np.bitwise_count(value - (value > 0)).astype(np.int64)  # of a power of two, its place
+            first = np.where(np.bitwise_count(value) <= 1, bit, first)
+    return first
+
+
+def _link_bits(x: np.ndarray, y: np.ndarray, key_bit: int, scheme: Scheme) -> np.ndarray:
+    """Differing bits of the pairs that are linked and that this key is the first to hold; 4095 for the others.
+
+    Each link is thus weighed at one key. Copies share many keys, and would otherwise be linked anew at each.
+    """
+    d = _apart(x, y)
+    near = np.flatnonzero(d <= scheme.max_bits)
+    out = np.full(len(d), 4095, np.int64)
+    mine = near[first_shared(x[near] if x.ndim == 2 else x, y[near], scheme) == key_bit] if len(near) else near
+    out[mine] = d[mine]
+    return out
+
+
+def spanning_links(codes: np.ndarray, key_bit: int, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bits) of a least spanning forest of the links that a key is the first to hold (Prim)."""
+    n, max_bits = len(codes), scheme.max_bits
     linked = np.zeros(n, bool)
     for i in range(0, n, 256):
         near = _apart(codes[i : i + 256, None], codes[None]) <= max_bits
@@ -167,7 +193,7 @@ def spanning_links(codes: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.nda
     while len(left):
         if not len(best) or best.min() > max_bits:  # start a tree
             now, left = left[0], left[1:]
-            best, nearest = _apart(codes[left], codes[now]), np.full(len(left), now)
+            best, nearest = _link_bits(codes[now], codes[left], key_bit, scheme), np.full(len(left), now)
             continue
         k = int(best.argmin())
         now = left[k]
@@ -175,7 +201,7 @@ def spanning_links(codes: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.nda
         out_j.append(now)
         out_d.append(best[k])
         left, best, nearest = np.delete(left, k), np.delete(best, k), np.delete(nearest, k)
-        d = _apart(codes[left], codes[now])
+        d = _link_bits(codes[now], codes[left], key_bit, scheme)
         nearest, best = np.where(d < best, now, nearest), np.minimum(d, best)
     return np.array(out_i, np.int64), np.array(out_j, np.int64), np.array(out_d, np.int64)
 
@@ -192,11 +218,12 @@ def _runs(keys: np.ndarray, codes: np.ndarray, scheme: Scheme) -> tuple[list[tup
         if not len(at):
             break
         apart = _apart(small[at], small[at + d])
-        near = apart <= scheme.max_bits
+        near = np.flatnonzero(apart <= scheme.max_bits)
+        near = near[first_shared(small[at[near]], small[at[near] + d], scheme) == small_k[at[near]] & 4095]
         found.append((small[at[near], 0], small[at[near] + d, 0], apart[near]))
     for k in np.flatnonzero((sizes > _SMALL) & (sizes <= scheme.run_cap)):
         run = codes[starts[k] : starts[k] + sizes[k]]
-        i, j, d = spanning_links(run, scheme.max_bits)
+        i, j, d = spanning_links(run, int(keys[starts[k]]) & 4095, scheme)
         found.append((run[i, 0], run[j, 0], d))
     a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(d, kind="stable")
@@ -263,7 +290,7 @@ def links(fps: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     def compare(group: pa.Table) -> pa.Table:
         codes = np.stack([group.column(c).to_numpy() for c in lanes], 1)
         codes = codes[np.lexsort(codes.T)].view(np.uint64)
-        i, j, _ = spanning_links(codes, scheme.max_bits)
+        i, j, _ = spanning_links(codes, group.column("key")[0].as_py() & 4095, scheme)
         return pa.table({"a": codes[i, 0].view(np.int64), "b": codes[j, 0].view(np.int64)})
 
     return edges.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
