@@ -89,7 +89,8 @@ def site_posteriors(marked: DataFrame) -> Sites:
     mean = float(np.clip(total["s"] / total["n"], 1e-4, 1 - 1e-4)) if total["n"] else 0.5
     host_strength = _strength(hosts, F.lit(mean), F.lit(mean))
     h = hosts.select(F.col("host").alias("_host"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
-    joined = paths.join(h, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
+    # written, so that its size is known when texts meet it
+    joined = materialize(paths.join(h, F.col("host").eqNullSafe(F.col("_host"))).drop("_host"), "sites")
     centre = (F.col("host_s") + host_strength * mean) / (F.col("host_n") + host_strength)
     return Sites(joined, mean, host_strength, _strength(joined, F.lit(mean), centre))
 
