@@ -47,6 +47,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df``, a written table of a few numbers a row, hinted for broadcast if it has at most ``max_rows``; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, utf8
+from .common import broadcast_if_few, materialize, ship, utf8
 from .components import components
 
 RUN_CAP = 4096
@@ -298,8 +298,12 @@ def links(fps: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
 
 def _similar(edges: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Links whose sketches reach the similarity: of the SKETCH smallest hashes of both, the share that both have."""
-    a, b = (sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"{c}s")) for c in "ab")
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(a, "a").join(b, "b")
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs, "proposed")
+    # only the sketches of linked fingerprints are moved
+    left = sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("as")).join(broadcast_if_few(pairs), "a")
+    right = sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("bs")).join(broadcast_if_few(pairs.select("b").distinct()), "b", "left_semi")
+    pairs = left.join(right, "b")
     both = F.slice(F.array_sort(F.array_union("as", "bs")), 1, SKETCH)
     shared = F.size(F.array_intersect(both, F.array_intersect("as", "bs")))
     return pairs.where(shared >= F.lit(similarity) * F.size(both)).select("a", "b")
@@ -332,10 +336,11 @@ def keep_one(docs: DataFrame, scheme: Scheme = NEAR_COPIES) -> DataFrame:
     Of rows that repeat a kept doc_id one stays. Rows without a doc_id stay.
     """
     classes = materialize(near_duplicates(docs, scheme).select("doc_id", "component_id"), "classes")
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.join(broadcast_if_few(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     repeated = materialize(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated")
     if repeated.isEmpty():
         return kept
+    repeated = broadcast_if_few(repeated)
     again = F.col("doc_id").cast("long") == F.col("_again")
     return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
