@@ -103,12 +103,12 @@ def dsm_features(f):
 @query(duck("cls", "hh", "win") + f""", k as (select win_r, win_c, count(*) + 1e-8 n, count(*) filter (cls = 2) a, count(*) filter (cls = 3) b, count(*) filter (cls = 4) p, count(*) filter (cls = 1) s, count(*) filter (cls in (5, 6)) v from cls join win on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c)
 select win_r, win_c, round(a/n, 6) pct_ceramic, round(b/n, 6) pct_fiber, round(p/n, 6) pct_paved, round(s/n, 6) pct_soil, round(v/n, 6) pct_veg, round(a/n + b/n + s/n, 6) informality, round(p/n + v/n, 6) formality from k""")
 def class_composition(f):
-    return rounded(terrain.class_shares(f.cls, f.height, f.width), 9)
+    return rounded(terrain.class_shares(f.cls, f.height, f.width))
 
 
 @query(duck("edges", "polypx", "hh", "win", "frac") + "select win_r, win_c, round(frac, 6) frac from frac where frac > 0")
 def window_overlap_explode(f):
-    return rounded(windows.overlap_fraction(vectors.mask(f.edges, f.height, f.width), f.height, f.width), 9)
+    return rounded(windows.overlap_fraction(vectors.mask(f.edges, f.height, f.width), f.height, f.width))
 
 
 @query(duck("edges", "polypx", "hh", "win", "frac") + "select win_r, win_c, round(frac, 6) frac from frac")
@@ -116,13 +116,13 @@ def window_overlap_sat(f):
     mask = vectors.mask(f.edges, f.height, f.width).withColumn("m", F.lit(1))
     layer = f.prob.select("r", "c").join(mask, ["r", "c"], "left")
     s = terrain.summed_windows(terrain.summed_area(layer, "m"), windows.all_windows(f.spark, f.height, f.width))
-    return rounded(s.select("win_r", "win_c", (F.col("s") / F.lit(float(W * W))).alias("frac")), 9)
+    return rounded(s.select("win_r", "win_c", (F.col("s") / F.lit(float(W * W))).alias("frac")))
 
 
 @query(duck("socio", "hh", "win") + f"select win_r, win_c, round(avg(vuln), 6) vuln_mean, count(vuln) n_valid from socio join win on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c")
 def nan_window_means(f):
     w = windows.window_sums(f.socio, {"s": F.sum("vuln"), "n": F.count("vuln")}, f.height, f.width)
-    return rounded(w.select("win_r", "win_c", F.try_divide("s", "n").alias("vuln_mean"), F.col("n").alias("n_valid")), 9)
+    return rounded(w.select("win_r", "win_c", F.try_divide("s", "n").alias("vuln_mean"), F.col("n").alias("n_valid")))
 
 
 @query(duck("socio", "hh", "win") + f"select win_r, win_c, cast(count(vuln) > 0 as int) has_socio from socio join win on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c")
@@ -134,7 +134,7 @@ def coverage_flag(f):
 @query(duck("prob", "hh", "win") + f", s as (select win_r, win_c, avg(p) score from prob join win on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c) select r, c, round(avg(score), 6) score from s join prob on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by r, c")
 def heatmap_mean(f):
     scored = windows.window_stats(f.prob, {"p": F.col("p")}, f.height, f.width, std=False).withColumnRenamed("p_mean", "score")
-    return rounded(windows.scatter_mean(scored, "score"), 9)
+    return rounded(windows.scatter_mean(scored, "score"))
 
 
 @query(duck("prob", "hh", "win") + f""", s as (select win_r, win_c, avg(p) score, case when win_r % 20 = 0 then 1 else 0 end pred from prob join win on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c)
@@ -142,7 +142,7 @@ select r, c, cast(avg(pred) >= 0.5 as int) vote, round(avg(score - (select min(s
 def majority_vote(f):
     scored = windows.window_stats(f.prob, {"p": F.col("p")}, f.height, f.width, std=False)
     scored = scored.select("win_r", "win_c", F.col("p_mean").alias("score"), F.when(F.col("win_r") % 20 == 0, 1).otherwise(0).alias("pred"))
-    return rounded(windows.vote(scored, "pred", "score"), 9)
+    return rounded(windows.vote(scored, "pred", "score"))
 
 
 @query(duck("edges", "polypx", "hh") + f""", box as (select min(r) r0, min(c) c0, max(r) r1, max(c) c1 from polypx),
@@ -151,7 +151,7 @@ select cast(win_r as int) win_r, cast(win_c as int) win_c, round(count(*) / {W *
 def reference_windows(f):
     mask = vectors.mask(f.edges, f.height, f.width)
     box = mask.agg(F.min("r"), F.min("c"), F.max("r"), F.max("c")).first()
-    return rounded(similar.reference_windows(f.spark, f.height, f.width, tuple(box), mask), 9)
+    return rounded(similar.reference_windows(f.spark, f.height, f.width, tuple(box), mask))
 
 
 # --- similarity
@@ -159,7 +159,7 @@ def reference_windows(f):
 @query(duck("px", "hh", "win", "wpx", "feat") + "select win_r, win_c, " + ", ".join(f"round(({b}_mean - avg({b}_mean) over ()) / (stddev_pop({b}_mean) over () + 1e-8), 6) {b}_mean" for b in BANDS) + " from feat")
 def zscore_normalise(f):
     columns = [f"{b}_mean" for b in BANDS]
-    return rounded(similar.zscores(_features(f).select("win_r", "win_c", *columns), columns), 9)
+    return rounded(similar.zscores(_features(f).select("win_r", "win_c", *columns), columns))
 
 
 def _vectors(f: Fixtures) -> DataFrame:
@@ -172,12 +172,12 @@ _REF = "with e as (select vec_id, label, unnest(embedding)::double x, generate_s
 
 @query(_REF + "select vec_id, round((xy / ((sqrt(xx) + 1e-8) * (sqrt(yy) + 1e-8)) + 1) / 2, 6) similarity from d")
 def cosine_similarity(f):
-    return rounded(similar.scored(_vectors(f), [f"f{k}" for k in range(64)], F.col("label") == 0).select("vec_id", "similarity"), 9)
+    return rounded(similar.scored(_vectors(f), [f"f{k}" for k in range(64)], F.col("label") == 0).select("vec_id", "similarity"))
 
 
 @query(_REF + "select vec_id, round(1 / (1 + sqrt(dd)), 6) similarity from d")
 def euclidean_similarity(f):
-    return rounded(similar.scored(_vectors(f), [f"f{k}" for k in range(64)], F.col("label") == 0, "euclidean").select("vec_id", "similarity"), 9)
+    return rounded(similar.scored(_vectors(f), [f"f{k}" for k in range(64)], F.col("label") == 0, "euclidean").select("vec_id", "similarity"))
 
 
 @query(_REF + "select vec_id, round((xy / ((sqrt(xx) + 1e-8) * (sqrt(yy) + 1e-8)) + 1) / 2, 6) similarity from d order by similarity desc, vec_id limit 5")
@@ -214,7 +214,7 @@ def rasterize_field(f):
 
 @query(duck("edges") + "select poly_id, round(sum(case when ring = 0 then a else -a end), 6) area from (select poly_id, part, ring, abs(sum(x1*y2 - x2*y1) / 2) a from edges group by all) group by poly_id")
 def polygon_area(f):
-    return rounded(vectors.area(f.edges), 9)
+    return rounded(vectors.area(f.edges))
 
 
 @query(duck("edges") + ", cuts as (select * from edges) select distinct poly_id from cuts where poly_id // 10 = 0 and poly_id in (1, 2, 5)")
@@ -224,7 +224,7 @@ def polygons_in_box(f):
 
 @query(duck("edges", "polypx", "socio", "prob", "probm", "polygons", "zs") + "select poly_id, round(mean_prob, 9) mean_prob, max_prob, n_px from zs")
 def zonal_stats(f):
-    return rounded(_zones(f).select("poly_id", "mean_prob", "max_prob", "n_px"), 9, 9)
+    return rounded(_zones(f).select("poly_id", "mean_prob", "max_prob", "n_px"), 9)
 
 
 def _masked(f: Fixtures) -> DataFrame:
@@ -239,12 +239,12 @@ def _zones(f: Fixtures) -> DataFrame:
 
 @query(duck("edges", "polypx", "socio", "prob", "probm", "polygons", "zs") + "select poly_id, round(mean_prob, 9) mean_prob, max_prob, round(p90_prob, 9) p90_prob from zs")
 def zonal_p90(f):
-    return rounded(zonal.zonal_p90(vectors.rasterize(f.edges, f.height, f.width), _masked(f), f.polygons), 9, 9, 9)
+    return rounded(zonal.zonal_p90(vectors.rasterize(f.edges, f.height, f.width), _masked(f), f.polygons), 9)
 
 
 @query(duck("edges", "polypx", "socio", "polygons") + "select p.poly_id, round(avg(case when x.r is null then null when s.vuln is not null then 1 else 0 end), 6) covered from polygons p left join polypx x on x.poly_id = p.poly_id left join socio s on s.r = x.r and s.c = x.c group by p.poly_id")
 def covered_fraction(f):
-    return rounded(zonal.covered_fraction(vectors.rasterize(f.edges, f.height, f.width), f.socio.where("vuln is not null"), f.polygons), 9, 9, 9)
+    return rounded(zonal.covered_fraction(vectors.rasterize(f.edges, f.height, f.width), f.socio.where("vuln is not null"), f.polygons))
 
 
 @query(duck("polygons") + "select poly_id, case when town = 'Centre' then 'core' when town in ('North', 'South') then 'periphery' else 'outside' end as scope from polygons")
@@ -255,7 +255,7 @@ def scope_classify(f):
 @query(duck("edges", "polypx", "socio", "prob", "probm", "polygons", "zs", "scoped") + """, t as (select * from scoped cross join (values (0.5::double), (0.7), (0.9)) v(threshold) where scope <> 'outside')
 select coalesce(scope, 'all') as scope, threshold, count(*) n, round(avg(case when coalesce(max_prob >= threshold, false) then 1 else 0 end) * 100, 6) detected_pct from t group by grouping sets ((scope, threshold), (threshold))""")
 def detection_by_scope(f):
-    return rounded(zonal.detection_table(_zones(f), (0.5, 0.7, 0.9)), 9, 9, 9)
+    return rounded(zonal.detection_table(_zones(f), (0.5, 0.7, 0.9)))
 
 
 @query(duck("edges", "polypx", "socio", "prob", "probm", "polygons", "zs") + "select count(*) filter (mean_prob < 0.5 and max_prob >= 0.5) touched from zs")
@@ -265,18 +265,18 @@ def touched_polygons(f):
 
 @query(duck("edges", "polypx", "socio", "prob", "probm", "polygons", "zs") + ", q as (select quantile_cont(value, [1/3::double, 2/3::double]) e from zs) select cast((value > e[1])::int + (value > e[2])::int as int) size_bin, count(*) n, max(value) largest, round(avg(case when coalesce(mean_prob >= 0.5, false) then 1 else 0 end) * 100, 9) detected_pct, round(median(mean_prob), 9) as median from zs, q group by 1")
 def size_tertiles(f):
-    return rounded(zonal.size_tertiles(_zones(f), "value", "mean_prob"), 9, 9, 9, 9)
+    return rounded(zonal.size_tertiles(_zones(f), "value", "mean_prob"), 9)
 
 
 @query(duck("edges", "polypx", "socio", "prob", "probm", "polygons", "zs") + "select round(quantile_cont(mean_prob, 0.25), 9) q25, round(quantile_cont(mean_prob, 0.5), 9) as median, round(quantile_cont(mean_prob, 0.75), 9) q75 from zs")
 def polygon_quartiles(f):
-    return rounded(zonal.quartiles(_zones(f), "mean_prob"), 9, 9, 9, 9, 9)
+    return rounded(zonal.quartiles(_zones(f), "mean_prob"), 9)
 
 
 @query(duck("edges", "polypx", "socio", "prob", "probm", "polygons", "zs") + "select poly_id, round(mean_prob, 9) mean_prob, town, cast(null as double) as value from zs where poly_id % 2 = 0 union all select poly_id, round(mean_prob, 9), null, value from zs where poly_id % 2 = 1")
 def union_scores(f):
     z = _zones(f)
-    return rounded(zonal.union_scores(z.where("poly_id % 2 = 0").select("poly_id", "mean_prob", "town"), z.where("poly_id % 2 = 1").select("poly_id", "mean_prob", "value")), 9, 9, 9, 9, 9, 9)
+    return rounded(zonal.union_scores(z.where("poly_id % 2 = 0").select("poly_id", "mean_prob", "town"), z.where("poly_id % 2 = 1").select("poly_id", "mean_prob", "value")), 9)
 
 
 # --- labels
@@ -289,12 +289,12 @@ def _labelled(f: Fixtures) -> DataFrame:
 
 @query(duck("px", "hh", "win", "wpx", "feat", "edges", "polypx", "frac", "built", "lab") + "select win_r, win_c, round(frac, 6) frac, label from lab")
 def label_windows(f):
-    return rounded(_labelled(f).select("win_r", "win_c", "frac", "label"), 9, 9, 9, 9, 9, 9)
+    return rounded(_labelled(f).select("win_r", "win_c", "frac", "label"))
 
 
 @query(duck("px", "hh", "win", "wpx", "feat", "built") + "select win_r, win_c, round(bright, 6) brightness, round(built_score, 6) built_score from built")
 def builtup_rank(f):
-    return rounded(labels.built_up(_features(f).drop("n_px")), 9, 9, 9, 9, 9, 9)
+    return rounded(labels.built_up(_features(f).drop("n_px")))
 
 
 _PICK = "md5(concat_ws(':', '{}', cast(win_r as varchar), cast(win_c as varchar)))"
@@ -303,7 +303,7 @@ _HARD = duck("px", "hh", "win", "wpx", "feat", "edges", "polypx", "frac", "built
 
 @query(_HARD + "select win_r, win_c, round(built_score, 6) built_score from hard")
 def hard_negatives(f):
-    return rounded(labels.hard_negatives(_labelled(f).where("label = 'negative'"), 3).select("win_r", "win_c", "built_score"), 9, 9, 9, 9, 9, 9)
+    return rounded(labels.hard_negatives(_labelled(f).where("label = 'negative'"), 3).select("win_r", "win_c", "built_score"))
 
 
 @query(_HARD + f"select win_r, win_c from neg where (win_r, win_c) not in (select (win_r, win_c) from hard) order by {_PICK.format(43)}, win_r, win_c limit 4")
@@ -325,7 +325,7 @@ def stratified_sample(f):
 
 @query(duck("scores") + "select id, y, round((select count(*) from scores) / (2.0::double * count(*) over (partition by y)), 6) weight from scores")
 def class_weights(f):
-    return rounded(labels.class_weights(f.scores).select("id", "y", "weight"), 9, 9, 9, 9, 9, 9)
+    return rounded(labels.class_weights(f.scores).select("id", "y", "weight"))
 
 
 # --- objects
@@ -341,12 +341,12 @@ def connected_components(f):
 
 @query(duck("prob", "comp", "blobs") + "select blob_id, n_px, round(mean_prob, 9) mean_prob, max_prob from blobs")
 def object_sizes(f):
-    return rounded(objects.sizes(_on(f), f.prob), 9, 9, 9, 9, 9, 9, 9)
+    return rounded(objects.sizes(_on(f), f.prob), 9)
 
 
 @query(duck("prob", "comp", "blobs") + "select blob_id, n_px, round(mean_prob, 9) mean_prob, max_prob from blobs where n_px >= 5 and mean_prob >= 0.8")
 def object_filter(f):
-    return rounded(objects.large(objects.sizes(_on(f), f.prob), 5, 0.8), 9, 9, 9, 9, 9, 9, 9, 9)
+    return rounded(objects.large(objects.sizes(_on(f), f.prob), 5, 0.8), 9)
 
 
 @query(duck("prob", "comp", "blobs", "edges", "polypx", "hit") + "select blob_id from hit")
@@ -359,7 +359,7 @@ def object_hits_semi(f):
 def false_objects_anti(f):
     on = _on(f)
     kept = objects.large(objects.sizes(on, f.prob), 3)
-    return rounded(objects.misses(kept, objects.hits(on, kept, vectors.mask(f.edges, f.height, f.width))), 9, 9, 9, 9, 9, 9, 9, 9, 9)
+    return rounded(objects.misses(kept, objects.hits(on, kept, vectors.mask(f.edges, f.height, f.width))), 9)
 
 
 @query(duck("prob", "comp", "blobs", "edges", "polypx", "polygons", "hit") + """, sh as (select p.poly_id, coalesce(avg(case when x.r is null then null when k.blob_id is not null then 1 else 0 end), 0) share from polygons p left join polypx x on x.poly_id = p.poly_id left join comp on comp.r = x.r and comp.c = x.c left join kept k on k.blob_id = comp.blob_id group by p.poly_id)
@@ -368,7 +368,7 @@ def object_precision_recall(f):
     on = _on(f)
     kept = objects.large(objects.sizes(on, f.prob), 3)
     px = vectors.rasterize(f.edges, f.height, f.width)
-    return rounded(objects.precision_recall(on, kept, px.select("r", "c").distinct(), px, f.polygons), 9, 9, 9, 9, 9, 9, 9, 9, 9)
+    return rounded(objects.precision_recall(on, kept, px.select("r", "c").distinct(), px, f.polygons))
 
 
 @query()
@@ -392,37 +392,37 @@ def confusion_matrix(f):
  m as (select *, tp/(tp+fp+1e-8) pr, tp/(tp+fn+1e-8) rc, ((tp+fp)*(tp+fn)+(tn+fn)*(tn+fp))/(n*n) pe from k)
 select round(pr, 6) as precision, round(rc, 6) recall, round(2*pr*rc/(pr+rc+1e-8), 6) f1, round((tp+tn)/(n+1e-8), 6) accuracy, round(tp/(tp+fp+fn+1e-8), 6) iou, round(((tp+tn)/n-pe)/(1-pe), 6) kappa from m""")
 def classification_report(f):
-    return rounded(metrics.report(metrics.confusion(f.scores, 0.5)), 9, 9, 9, 9, 9, 9, 9, 9, 9)
+    return rounded(metrics.report(metrics.confusion(f.scores, 0.5)))
 
 
 @query(duck("scores", "tot") + ", k as (select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double rk from scores) select round((sum(rk) - any_value(p) * (any_value(p) + 1) / 2.0::double) / (any_value(p) * (any_value(n) - any_value(p)))::double, 6) auc from k, tot where y = 1")
 def roc_auc(f):
-    return rounded(metrics.roc_auc(f.scores), 9, 9, 9, 9, 9, 9, 9, 9, 9)
+    return rounded(metrics.roc_auc(f.scores))
 
 
 @query(duck("scores", "pts", "tot") + "select round(sum(pos * tp / pts.n::double) / any_value(p)::double, 6) ap from pts, tot")
 def average_precision(f):
-    return rounded(metrics.average_precision(f.scores), 9, 9, 9, 9, 9, 9, 9, 9, 9)
+    return rounded(metrics.average_precision(f.scores))
 
 
 @query(duck("scores", "pts", "tot") + "select threshold, round((pts.n - tp) / (tot.n - p)::double, 6) fpr, round(tp / p::double, 6) tpr from pts, tot")
 def roc_curve(f):
-    return rounded(metrics.roc_curve(f.scores), 6, 9, 9, 9, 9, 9, 9, 9, 9, 9)
+    return rounded(metrics.roc_curve(f.scores), 6)
 
 
 @query(duck("scores", "pts", "tot") + "select threshold, round(tp / pts.n::double, 6) as precision, round(tp / p::double, 6) recall from pts, tot")
 def pr_curve(f):
-    return rounded(metrics.pr_curve(f.scores), 6, 9, 9, 9, 9, 9, 9, 9, 9, 9)
+    return rounded(metrics.pr_curve(f.scores), 6)
 
 
 @query(duck("scores", "pts", "tot") + ", q as (select threshold, tp / pts.n::double pr, tp / p::double rc from pts, tot) select threshold, round(2*pr*rc/(pr+rc+1e-8), 6) f1 from q order by 2*pr*rc/(pr+rc+1e-8) desc, threshold limit 1")
 def best_f1_threshold(f):
-    return rounded(metrics.best_f1(f.scores), 9, 9, 9, 9, 9, 9, 9, 9, 9)
+    return rounded(metrics.best_f1(f.scores))
 
 
 @query(duck("scores") + ", q as (select quantile_cont(s, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) e from scores), b as (select y, s, len(list_filter(e, lambda x: x < s)) bin from scores, q) select cast(bin as int) bin, count(*) n, round(avg(s), 6) mean_score, round(avg(y), 6) share_positive from b group by bin")
 def calibration_bins(f):
-    return rounded(metrics.calibration(f.scores), 9, 9, 9, 9, 9, 9, 9, 9, 9)
+    return rounded(metrics.calibration(f.scores))
 
 
 @query(duck("edges", "polypx", "prob", "socio", "probm") + "select m.r, m.c, cast(case when t.r is not null and coalesce(p >= 0.5, false) then 1 when t.r is null and coalesce(p >= 0.5, false) then 2 when t.r is not null then 3 else 0 end as int) code from probm m left join (select distinct r, c from polypx) t on t.r = m.r and t.c = m.c")
@@ -439,7 +439,7 @@ def probability_clip(f):
 def map_pixel_roundtrip(f):
     x, y = GRID.pixel_to_map(F.col("r"), F.col("c"))
     back_r, back_c = GRID.map_to_pixel(F.col("x"), F.col("y"))
-    return rounded(f.prob.select("r", "c", x.alias("x"), y.alias("y")).select("r", "c", back_r.alias("back_r"), back_c.alias("back_c"), "x", "y"), 9, 9, 9, 9, 9, 9, 9, 9, 9)
+    return rounded(f.prob.select("r", "c", x.alias("x"), y.alias("y")).select("r", "c", back_r.alias("back_r"), back_c.alias("back_c"), "x", "y"))
 
 
 @query("select * from (values " + ", ".join("({}, {})".format(i, "cast(null as varchar)" if b is None else f"'{b}'") for i, _, b in fx.NAMES_ROWS) + ") t(id, name)")
@@ -454,3 +454,107 @@ def importance_topk(f):
     rows = part.select(F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 7 + 1).cast("int")).alias("feature"), F.round("p_retailprice").alias("importance"))
     top = metrics.mean_importance(rows).orderBy(F.desc("importance"), "feature").limit(5)
     return top.select("feature", "importance", scalar.feature_group(F.col("feature")).alias("kind"))
+
+
+# --- texture, resampling, coordinates, overlays, models
+
+_GREY = f""", m as (select *, min(B8) over (partition by win_r, win_c) lo, max(B8) over (partition by win_r, win_c) hi from wpx),
+ g as (select win_r, win_c, r, c, cast(floor((case when hi - lo >= 1e-8 then floor((B8 - lo) / (hi - lo)::double * 255) else 0 end) / 4) as int) q from m),
+ o as (select * from (values (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) t(angle, dr, dc)),
+ pr as (select a.win_r, a.win_c, angle, a.q i, b.q j from g a cross join o join g b on b.win_r = a.win_r and b.win_c = a.win_c and b.r = a.r + dr and b.c = a.c + dc),
+ sy as (select * from pr union all select win_r, win_c, angle, j, i from pr),
+ n as (select win_r, win_c, angle, i, j, count(*)::double n from sy group by all),
+ k as (select win_r, win_c, angle, sum(n*(i-j)*(i-j))/sum(n) contrast, sum(n/(1+(i-j)*(i-j)))/sum(n) homogeneity, sqrt(sum(n*n))/sum(n) energy, sum(n*i)/sum(n) m, sum(n*i*i)/sum(n) s, sum(n*i*j)/sum(n) x from n group by all)
+select win_r, win_c, round(avg(contrast), 6) contrast, round(avg(homogeneity), 6) homogeneity, round(avg(energy), 6) energy, round(avg(case when s - m*m > 1e-12 then (x - m*m)/(s - m*m) else 1 end), 6) correlation from k group by win_r, win_c"""
+
+
+@query(duck("px", "hh", "win", "wpx") + _GREY)
+def glcm_texture(f):
+    from ..operators import texture
+
+    return rounded(texture.cooccurrence(f.px, "B8", f.height, f.width))
+
+
+@query()
+def edge_density(f):
+    from ..operators import texture
+
+    return rounded(texture.edge_density(f.px, "B8", f.height, f.width))
+
+
+_TARGET = ", t as (select cast(x as int) r, cast(y as int) c, (x + 0.5) * 1.5 - 0.5::double fr, (y + 0.5) * 1.5 - 0.5::double fc from (select unnest(range(0, h * 2 // 3)) x from hh) cross join (select unnest(range(0, 33)) y))"
+
+
+def _coarse(f: Fixtures) -> tuple[GridSpec, GridSpec]:
+    return GridSpec(f.width, f.height, 1.0, e=1.0), GridSpec(33, f.height * 2 // 3, 1.5, e=1.5)
+
+
+@query(duck("dsm", "hh") + _TARGET + """, k as (select t.r, t.c, (case when a = 0 then 1 - (fr - floor(fr)) else fr - floor(fr) end) * (case when b = 0 then 1 - (fc - floor(fc)) else fc - floor(fc) end) w, z from t cross join (values (0,0),(0,1),(1,0),(1,1)) o(a, b) left join dsm on dsm.r = floor(fr) + a and dsm.c = floor(fc) + b)
+select r, c, round(sum(w * z) / sum(case when z is not null then w end), 9) z from k where w > 0 group by r, c""")
+def warp_bilinear(f):
+    from ..operators import warp
+
+    source, target = _coarse(f)
+    return rounded(warp.bilinear(f.dsm, source, target, "z"), 9)
+
+
+@query(duck("dsm", "hh") + _TARGET + "select t.r, t.c, z from t left join dsm on dsm.r = floor(fr + 0.5) and dsm.c = floor(fc + 0.5)")
+def warp_nearest(f):
+    from ..operators import warp
+
+    source, target = _coarse(f)
+    return warp.nearest(f.dsm, source, target, "z")
+
+
+@query("select o_orderkey id, round(-36.5::double + (o_orderkey % 700) / 100.0::double, 6) lon, round(-11::double + (o_orderkey % 1000) / 500.0::double, 6) lat from orders where o_orderkey < 1000")
+def utm_roundtrip(f):
+    from ..operators import crs
+
+    rows = f.spark.table("orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("id"), (F.lit(-36.5) + (F.col("o_orderkey") % 700) / F.lit(100.0)).alias("lon"), (F.lit(-11.0) + (F.col("o_orderkey") % 1000) / F.lit(500.0)).alias("lat"))
+    e, n = crs.transform(F.col("lon"), F.col("lat"), 4674, 31985)
+    lon, lat = crs.transform(F.col("e"), F.col("n"), 31985, 4326)
+    return rounded(rows.select("id", e.alias("e"), n.alias("n")).select("id", lon.alias("lon"), lat.alias("lat")))
+
+
+@query("select poly_id, pct overlap_pct from (select cast(b.block*10+k as bigint) poly_id, pct from (values (1, 81.3), (2, 0.0), (3, 0.0), (4, 0.0), (5, 0.0), (6, 0.0)) t(k, pct) cross join (select distinct o_orderkey // 1500 block from orders) b)".replace("(1, 81.3)", "(1, 75.1::double)"))
+def polygon_overlap(f):
+    from ..operators import overlay
+
+    moved = f.edges.where("poly_id % 10 = 1").withColumns({k: F.col(k) + 1.0 for k in ("x1", "y1", "x2", "y2")})
+    return overlay.overlap_percent(f.edges, moved, 10.0)
+
+
+@query()
+def one_class_svm(f):
+    from ..operators import models
+
+    columns = [f"f{k}" for k in range(16)]
+    return rounded(models.one_class_scores(_vectors(f), columns, F.col("label") == 0).select("vec_id", "svm_score", "svm_inlier"))
+
+
+def _training(f: Fixtures) -> tuple[DataFrame, list[str]]:
+    rows = _labelled(f).join(_features(f).drop("n_px"), ["win_r", "win_c"])
+    grid = GridSpec(f.width, f.height)
+    rows = rows.withColumn("block_id", grid.block_id(F.col("win_r"), F.col("win_c"), 20)).withColumn("in_scope", F.col("win_c") < 30)
+    # half a window on a polygon is rare in this raster, so a tenth counts here
+    rows = rows.withColumn("label", F.when(F.col("frac") >= 0.1, "positive").when(F.col("frac") > 0, "ambiguous").otherwise("negative"))
+    return rows.join(F.broadcast(labels.folds(rows)), "block_id"), [f"{b}_mean" for b in BANDS] + ["NDBI_mean", "NDVI_mean"]
+
+
+@query()
+def rf_oof_probability(f):
+    from ..operators import models
+
+    rows, columns = _training(f)
+    sample = labels.training_sample(rows).select("win_r", "win_c", "y")
+    cv = models.cross_validate(rows.join(sample, ["win_r", "win_c"], "left"), columns, trees=20)
+    return rounded(cv.scores)
+
+
+@query()
+def tune_grid(f):
+    from ..operators import models
+
+    rows, columns = _training(f)
+    settings = {k: models.TUNING[k] for k in ("base", "plain")}
+    return rounded(models.tune(rows, columns, settings, trees=5))
