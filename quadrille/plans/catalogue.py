@@ -119,10 +119,10 @@ def window_overlap_sat(f):
     return rounded(s.select("win_r", "win_c", (F.col("s") / F.lit(float(W * W))).alias("frac")))
 
 
-@query(duck("socio", "hh", "win") + f"select win_r, win_c, round(avg(vuln), 6) vuln_mean, count(vuln) n_valid from socio join win on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c")
+@query(duck("socio", "hh", "win") + f"select win_r, win_c, round(avg(vuln), 9) vuln_mean, count(vuln) n_valid from socio join win on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c")
 def nan_window_means(f):
     w = windows.window_sums(f.socio, {"s": F.sum("vuln"), "n": F.count("vuln")}, f.height, f.width)
-    return rounded(w.select("win_r", "win_c", F.try_divide("s", "n").alias("vuln_mean"), F.col("n").alias("n_valid")))
+    return rounded(w.select("win_r", "win_c", F.try_divide("s", "n").alias("vuln_mean"), F.col("n").alias("n_valid")), 9)
 
 
 @query(duck("socio", "hh", "win") + f"select win_r, win_c, cast(count(vuln) > 0 as int) has_socio from socio join win on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c")
@@ -131,18 +131,18 @@ def coverage_flag(f):
     return w.select("win_r", "win_c", (F.col("n") > 0).cast("int").alias("has_socio"))
 
 
-@query(duck("prob", "hh", "win") + f", s as (select win_r, win_c, avg(p) score from prob join win on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c) select r, c, round(avg(score), 6) score from s join prob on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by r, c")
+@query(duck("prob", "hh", "win") + f", s as (select win_r, win_c, avg(p) score from prob join win on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c) select r, c, round(avg(score), 9) score from s join prob on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by r, c")
 def heatmap_mean(f):
     scored = windows.window_stats(f.prob, {"p": F.col("p")}, f.height, f.width, std=False).withColumnRenamed("p_mean", "score")
-    return rounded(windows.scatter_mean(scored, "score"))
+    return rounded(windows.scatter_mean(scored, "score"), 9)
 
 
 @query(duck("prob", "hh", "win") + f""", s as (select win_r, win_c, avg(p) score, case when win_r % 20 = 0 then 1 else 0 end pred from prob join win on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c)
-select r, c, cast(avg(pred) >= 0.5 as int) vote, round(avg(score - (select min(score) from s)), 6) score from s join prob on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by r, c""")
+select r, c, cast(avg(pred) >= 0.5 as int) vote, round(avg(score - (select min(score) from s)), 9) score from s join prob on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by r, c""")
 def majority_vote(f):
     scored = windows.window_stats(f.prob, {"p": F.col("p")}, f.height, f.width, std=False)
     scored = scored.select("win_r", "win_c", F.col("p_mean").alias("score"), F.when(F.col("win_r") % 20 == 0, 1).otherwise(0).alias("pred"))
-    return rounded(windows.vote(scored, "pred", "score"))
+    return rounded(windows.vote(scored, "pred", "score"), 9)
 
 
 @query(duck("edges", "polypx", "hh") + f""", box as (select min(r) r0, min(c) c0, max(r) r1, max(c) c1 from polypx),
@@ -242,9 +242,9 @@ def zonal_p90(f):
     return rounded(zonal.zonal_p90(vectors.rasterize(f.edges, f.height, f.width), _masked(f), f.polygons), 9)
 
 
-@query(duck("edges", "polypx", "socio", "polygons") + "select p.poly_id, round(avg(case when x.r is null then null when s.vuln is not null then 1 else 0 end), 6) covered from polygons p left join polypx x on x.poly_id = p.poly_id left join socio s on s.r = x.r and s.c = x.c group by p.poly_id")
+@query(duck("edges", "polypx", "socio", "polygons") + "select p.poly_id, round(avg(case when x.r is null then null when s.vuln is not null then 1 else 0 end), 9) covered from polygons p left join polypx x on x.poly_id = p.poly_id left join socio s on s.r = x.r and s.c = x.c group by p.poly_id")
 def covered_fraction(f):
-    return rounded(zonal.covered_fraction(vectors.rasterize(f.edges, f.height, f.width), f.socio.where("vuln is not null"), f.polygons))
+    return rounded(zonal.covered_fraction(vectors.rasterize(f.edges, f.height, f.width), f.socio.where("vuln is not null"), f.polygons), 9)
 
 
 @query(duck("polygons") + "select poly_id, case when town = 'Centre' then 'core' when town in ('North', 'South') then 'periphery' else 'outside' end as scope from polygons")
