@@ -2,55 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import broadcast_if_few, materialize, shared_dir, ship
+
 #: A word: a run of anything but the six ASCII white-space characters. ``bytes.split()`` cuts UTF-8 the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-_own_dirs: dict[str, str] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers that start from another folder import this package."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if _ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (have, _ROOT) if x)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="quadrille-")
-        atexit.register(shutil.rmtree, _own_dirs[app], True)
-    return f"file://{_own_dirs[app]}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_few(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """``df``, a written table of a few numbers a row, hinted for broadcast if it has at most ``max_rows``; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
+__all__ = ["WORD", "broadcast_if_few", "fit_logistic", "labelled_sample", "materialize", "shared_dir", "ship", "table", "utf8"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

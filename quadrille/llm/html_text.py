@@ -154,8 +154,8 @@ class Page:
                 top.end_line()
             elif name == "hr":
                 top.block(2)
-            elif name in ("img", "input") and (alt := attributes.get("alt" if name == "img" else "value", "").strip()) and attributes.get("type", "text").lower() in ("text", "submit", "button", "reset"):
-                top.text(f" {alt} ")
+            elif name == "input" and attributes.get("type", "text").lower() in ("text", "submit", "button", "reset") and (shown := attributes.get("value", "").strip()):
+                top.text(f" {shown} ")
         if name in _VOID or len(self.open) >= _MOST_OPEN:
             return
         frame = None

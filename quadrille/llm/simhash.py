@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import broadcast_if_few, materialize, ship, utf8
-from .components import components
 
 RUN_CAP = 4096
 SKETCH = 256

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import fit_logistic, labelled_sample, ship
 
-FIT_ROWS = 9000
+FIT_ROWS = 8000
 FIT_CHARS = 100_000
 THRESHOLD = 0.3
 WINDOW = 40
@@ -31,9 +31,10 @@ BASE_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless",
 REPORTING = frozenset(("said", "says", "say", "called", "calls", "calling", "quote", "quoted", "quoting", "wrote", "word", "words", "term", "slur", "insult", "cited", "labelled", "labeled"))
 QUOTES = frozenset("\"'“”‘’«»„`")
 QUOTED_WEIGHT = 0.3
+LOOKALIKES = 3
 _WORDS = re.compile(r"\w+")
 _OTHER = "\0"
-_REMEMBERED = 300_000
+_REMEMBERED = 150_000
 
 
 def edits_allowed(term: str, stem: bool) -> int:
@@ -45,13 +46,13 @@ def edits_allowed(term: str, stem: bool) -> int:
 class LexiconAutomaton:
     """Levenshtein automata intersected with a trie of terms. A stem accepts any ending."""
 
-    def __init__(self, terms: dict[str, bool]):
-        """terms: whether each is a stem."""
+    def __init__(self, terms: dict[str, bool], strict: frozenset[str] = frozenset()):
+        """terms: whether each is a stem. ``strict`` ones take no misspelling."""
         self.children: list[dict[str, int]] = [{}]
         self.end: list[tuple[str, bool, int] | None] = [None]
         self.most: list[int] = [0]
         for term in sorted(terms):
-            node, k = 0, edits_allowed(term, terms[term])
+            node, k = 0, 0 if term in strict else edits_allowed(term, terms[term])
             self.most[0] = max(self.most[0], k)
             for c in term:
                 if c not in self.children[node]:
@@ -125,8 +126,11 @@ class LexiconAutomaton:
 
 @dataclass
 class ToxicModel:
+    """``benign`` forms only look like a term; ``strict`` terms have so many of these that no misspelling of them is told apart."""
+
     terms: dict[str, bool]
     benign: frozenset[str]
+    strict: frozenset[str] = frozenset()
     weights: np.ndarray = field(default_factory=lambda: np.array([3.0, 1.0]))
     bias: float = -3.0
     mean: np.ndarray = field(default_factory=lambda: np.zeros(2))
@@ -138,7 +142,7 @@ class Scorer(dict):
 
     def __init__(self, model: ToxicModel):
         super().__init__()
-        self.model, self.automaton = model, LexiconAutomaton(model.terms)
+        self.model, self.automaton = model, LexiconAutomaton(model.terms, model.strict)
 
     def __missing__(self, word: str):
         hit = self.automaton.match(word)
@@ -196,29 +200,22 @@ def _longest_stem(stem: str, toxic: Counter[str]) -> str:
         stem += letter
 
 
-def learn(sample: list[tuple[str, int]], base: tuple[str, ...] = BASE_TERMS, purity: float = 0.95) -> ToxicModel:
-    """Terms and stems that occur almost only in toxic texts, so often that chance does not explain it; then the logistic weights.
+def _terms_of(texts: list[tuple[set[str], int]], base: tuple[str, ...], purity: float) -> dict[str, bool]:
+    """Terms and stems that occur almost only in toxic texts, so often that chance does not explain it.
 
-    Of texts that share their longest word (copies, near copies) one counts. A term needs enough texts that, at the base rate of
-    toxic texts, no word of the vocabulary would be expected to reach them by chance.
+    A term needs so many texts that, at the base rate of toxic texts, none of the candidates would be expected to reach them by chance.
     """
     seen: Counter[str] = Counter()
     toxic: Counter[str] = Counter()
-    texts: set[tuple[str, int]] = set()
-    rate = [0, 0]
-    for text, y in sample:
-        words = set(_WORDS.findall(text.lower()))
-        if not words or (mark := (max(words, key=lambda w: (len(w), w)), y)) in texts:
-            continue
-        texts.add(mark)
-        rate[y] += 1
+    for words, y in texts:
         seen.update(words)
         if y:
             toxic.update(words)
-    terms = {t: False for t in base if toxic[t] >= purity * seen[t] or seen[t] < 3}
-    if not rate[0] or not rate[1]:
-        return ToxicModel(dict.fromkeys(base, False), frozenset())
-    least = max(4, math.ceil(math.log(100 * max(len(seen), 2)) / -math.log(rate[1] / sum(rate))))
+    rate = sum(y for _, y in texts) / max(len(texts), 1)
+    if not 0 < rate < 1:
+        return {}
+    least = lambda candidates: max(4, math.ceil(math.log(100 * max(candidates, 2)) / -math.log(rate)))
+    terms: dict[str, bool] = {}
     for size in range(4, 9):
         n, t, forms = Counter(), Counter(), Counter()
         for w, k in seen.items():
@@ -226,19 +223,69 @@ def learn(sample: list[tuple[str, int]], base: tuple[str, ...] = BASE_TERMS, pur
                 n[w[:size]] += k
                 t[w[:size]] += toxic[w]
                 forms[w[:size]] += 1
+        enough = least(len(t))
         for stem in t:
-            if t[stem] >= max(least, purity * n[stem]) and forms[stem] >= 4 and not any(stem.startswith(x) or x.startswith(stem) for x, is_stem in terms.items() if is_stem):
+            if t[stem] >= max(enough, purity * n[stem]) and forms[stem] >= 4 and not any(stem.startswith(x) or x.startswith(stem) for x, is_stem in terms.items() if is_stem):
                 if max((toxic[w] for w in (stem, *[s for s in base if s.startswith(stem)]) if w in toxic), default=0) < 0.5 * t[stem]:
                     terms[_longest_stem(stem, toxic)] = True
+    enough = least(len(toxic))
     for w, k in toxic.items():
-        if k >= max(least, purity * seen[w]) and len(w) >= 4 and not any(terms.get(w[:i]) for i in range(4, len(w) + 1)):
+        if k >= max(enough, purity * seen[w]) and len(w) >= 4 and not any(terms.get(w[:i]) for i in range(4, len(w) + 1)):
             terms[w] = False
+    return terms
+
+
+def learn_lexicon(sample: list[tuple[str, int]], base: tuple[str, ...] = BASE_TERMS, purity: float = 0.95, rounds: int = 4) -> ToxicModel:
+    """Lexicon, and forms that only look like its terms.
+
+    Of texts that share their longest word (copies, near copies) one counts. Texts that the lexicon explains are set aside and the rest
+    searched again: among them toxic texts are rarer, so fewer texts tell a rare term from chance.
+    """
+    marks: set[tuple[str, int]] = set()
+    texts: list[tuple[set[str], int]] = []
+    for text, y in sample:
+        words = set(_WORDS.findall(text.lower()))
+        if words and (mark := (max(words, key=lambda w: (len(w), w)), y)) not in marks:
+            marks.add(mark)
+            texts.append((words, y))
+    if len({y for _, y in texts}) < 2:
+        return ToxicModel(dict.fromkeys(base, False), frozenset())
+    seen: Counter[str] = Counter()
+    toxic: Counter[str] = Counter()
+    for words, y in texts:
+        seen.update(words)
+        if y:
+            toxic.update(words)
+    terms = {t: False for t in base if toxic[t] >= purity * seen[t] or seen[t] < 3}
+    rest = texts
+    for _ in range(rounds):
+        new = {t: stem for t, stem in _terms_of(rest, base, purity).items() if t not in terms}
+        terms |= new
+        exact = LexiconAutomaton(terms)
+        left = [(w, y) for w, y in rest if not any((hit := exact.match(x)) and not hit[1] for x in w)]
+        if not new or len(left) == len(rest):
+            break
+        rest = left
     automaton = LexiconAutomaton(terms)
-    near = {w for w in seen if (hit := automaton.match(w)) and hit[1]}
-    model = ToxicModel(terms, frozenset(w for w in near if toxic[w] <= 0.5 * seen[w]))
-    scorer = Scorer(model)
-    x = np.array([scorer.features(t) for t, _ in sample])
-    model.weights, model.bias, model.mean, model.scale = fit_logistic(x, [y for _, y in sample])
+    near = {w: hit[0] for w in seen if (hit := automaton.match(w)) and hit[1] and toxic[w] <= 0.5 * seen[w]}
+    alike = Counter(near.values())
+    return ToxicModel(terms, frozenset(near), frozenset(t for t, n in alike.items() if n >= LOOKALIKES))
+
+
+def learn(sample: list[tuple[str, int]]) -> ToxicModel:
+    """A lexicon from all texts, and logistic weights.
+
+    The texts that give a term all look toxic by it. The weights are therefore fitted on hits that each half of the texts has in the other
+    half's lexicon.
+    """
+    model = learn_lexicon(sample)
+    x, y = [], []
+    for k in (0, 1):
+        scorer = Scorer(learn_lexicon(sample[k::2]))
+        x += [scorer.features(t) for t, _ in sample[1 - k :: 2]]
+        y += [label for _, label in sample[1 - k :: 2]]
+    if len(set(y)) == 2:
+        model.weights, model.bias, model.mean, model.scale = fit_logistic(np.array(x), y)
     return model
 
 
