@@ -10,7 +10,7 @@ from ..storage import broadcast_if_few, materialize, shared_dir, ship
 #: A word: a run of anything but the six ASCII white-space characters. ``bytes.split()`` cuts UTF-8 the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "broadcast_if_few", "fit_logistic", "labelled_sample", "materialize", "shared_dir", "ship", "table", "utf8"]
+__all__ = ["WORD", "broadcast_if_few", "fit_logistic", "give_back", "labelled_sample", "materialize", "shared_dir", "ship", "table", "utf8"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +45,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: i
     return list(zip(rows["text"].tolist(), (int(y) for y in rows["y"]), strict=True))
 
 
+def give_back() -> None:
+    """Return memory that a finished task has freed to the system: idle Python workers live on beside the next stage."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fit_logistic(x, y, l2: float = 1.0, steps: int = 50):
     """Newton's method for L2-regularised logistic regression with an intercept; returns (weights, bias, mean, scale)."""
     import numpy as np

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import give_back, ship
 
 SEQUENCE_LENGTH = 1024
 SEPARATOR = 2
@@ -167,6 +167,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE_LENGT
                     ids = encode(text or "") + end
                     rows += [(doc, k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(cut_points(len(ids) // 4, size))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 

@@ -8,6 +8,7 @@ site, its own evidence left out of the site's sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, labelled_sample, materialize, ship, utf8
+from .common import fit_logistic, give_back, labelled_sample, materialize, ship, utf8
 from .surface import TEXT_FEATURES, text_features
 
 FIT_ROWS = 6000
@@ -52,8 +53,10 @@ def evidence(text: str, model: TextModel) -> Column:
     """P(good | text) as whole units of 1e-6."""
 
     @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([round(model.probability(t) * _UNIT) for t in texts], dtype="int64")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([round(model.probability(t) * _UNIT) for t in texts], dtype="int64")
+        give_back()
 
     return of(utf8(text))
 

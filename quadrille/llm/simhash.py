@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import broadcast_if_few, materialize, ship, utf8
+from .common import broadcast_if_few, give_back, materialize, ship, utf8
 
 RUN_CAP = 4096
 SKETCH = 256
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     lanes = lane_names(scheme)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, 1024) for x in batches for at in range(0, x.num_rows, 1024)):
             columns: list[list] = [[] for _ in lanes]
             sketches = []
             for x in b.column(1):
@@ -107,7 +107,9 @@ def fingerprints(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
                 if scheme.similarity is not None:
                     sketches.append(np.unique(h >> np.uint64(33))[:SKETCH].astype(np.int32))
             arrays = [b.column(0), *[pa.array(c, pa.int64()) for c in columns]]
+            del columns
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(sketches, pa.list_(pa.int32()))] * (scheme.similarity is not None), names=["doc_id", *lanes] + ["sketch"] * (scheme.similarity is not None))
+        give_back()
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in lanes) + ", sketch array<int>" * (scheme.similarity is not None)
     return docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).mapInArrow(run, schema)
@@ -271,6 +273,7 @@ def links(fps: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _in_runs(batches, scheme)
+        give_back()
 
     found = materialize(index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, big long"), "links")
     edges = found.where("big is null").select("a", "b")

@@ -19,9 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, labelled_sample, ship
+from .common import fit_logistic, give_back, labelled_sample, ship
 
-FIT_ROWS = 8000
+FIT_ROWS = 6000
 FIT_CHARS = 100_000
 THRESHOLD = 0.3
 WINDOW = 40
@@ -186,7 +186,7 @@ class Scorer(dict):
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _longest_stem(stem: str, toxic: Counter[str]) -> str:
+def _longest_stem(stem: str, toxic: dict[str, int]) -> str:
     """The stem with the letters that nearly all of its words go on with."""
     words = {w: k for w, k in toxic.items() if w.startswith(stem)}
     while True:
@@ -200,37 +200,35 @@ def _longest_stem(stem: str, toxic: Counter[str]) -> str:
         stem += letter
 
 
-def _terms_of(texts: list[tuple[set[str], int]], base: tuple[str, ...], purity: float) -> dict[str, bool]:
+def _terms_of(names: list[str], seen: np.ndarray, toxic: np.ndarray, rate: float, base: tuple[str, ...], purity: float) -> dict[str, bool]:
     """Terms and stems that occur almost only in toxic texts, so often that chance does not explain it.
 
-    A term needs so many texts that, at the base rate of toxic texts, none of the candidates would be expected to reach them by chance.
+    ``seen`` and ``toxic`` count the texts that hold each name. A term needs so many texts that, at the base rate of toxic texts, none of
+    the candidates would be expected to reach them by chance.
     """
-    seen: Counter[str] = Counter()
-    toxic: Counter[str] = Counter()
-    for words, y in texts:
-        seen.update(words)
-        if y:
-            toxic.update(words)
-    rate = sum(y for _, y in texts) / max(len(texts), 1)
     if not 0 < rate < 1:
         return {}
     least = lambda candidates: max(4, math.ceil(math.log(100 * max(candidates, 2)) / -math.log(rate)))
+    in_toxic = {names[i]: int(toxic[i]) for i in np.flatnonzero(toxic)}
     terms: dict[str, bool] = {}
     for size in range(4, 9):
         n, t, forms = Counter(), Counter(), Counter()
-        for w, k in seen.items():
+        for i in np.flatnonzero(seen):
+            w = names[i]
             if len(w) >= size and w.isalpha():
-                n[w[:size]] += k
-                t[w[:size]] += toxic[w]
+                n[w[:size]] += int(seen[i])
+                t[w[:size]] += int(toxic[i])
                 forms[w[:size]] += 1
-        enough = least(len(t))
+        enough = least(sum(k > 0 for k in t.values()))
         for stem in t:
             if t[stem] >= max(enough, purity * n[stem]) and forms[stem] >= 4 and not any(stem.startswith(x) or x.startswith(stem) for x, is_stem in terms.items() if is_stem):
-                if max((toxic[w] for w in (stem, *[s for s in base if s.startswith(stem)]) if w in toxic), default=0) < 0.5 * t[stem]:
-                    terms[_longest_stem(stem, toxic)] = True
-    enough = least(len(toxic))
-    for w, k in toxic.items():
-        if k >= max(enough, purity * seen[w]) and len(w) >= 4 and not any(terms.get(w[:i]) for i in range(4, len(w) + 1)):
+                if max((in_toxic[w] for w in (stem, *[s for s in base if s.startswith(stem)]) if w in in_toxic), default=0) < 0.5 * t[stem]:
+                    terms[_longest_stem(stem, in_toxic)] = True
+        del n, t, forms
+    enough = least(len(in_toxic))
+    for i in np.flatnonzero((toxic >= enough) & (toxic >= purity * seen)):
+        w = names[i]
+        if len(w) >= 4 and not any(terms.get(w[:k]) for k in range(4, len(w) + 1)):
             terms[w] = False
     return terms
 
@@ -242,32 +240,42 @@ def learn_lexicon(sample: list[tuple[str, int]], base: tuple[str, ...] = BASE_TE
     searched again: among them toxic texts are rarer, so fewer texts tell a rare term from chance.
     """
     marks: set[tuple[str, int]] = set()
-    texts: list[tuple[set[str], int]] = []
+    number: dict[str, int] = {}
+    texts: list[np.ndarray] = []
+    labels: list[int] = []
     for text, y in sample:
         words = set(_WORDS.findall(text.lower()))
         if words and (mark := (max(words, key=lambda w: (len(w), w)), y)) not in marks:
             marks.add(mark)
-            texts.append((words, y))
-    if len({y for _, y in texts}) < 2:
+            texts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+            labels.append(y)
+    if len(set(labels)) < 2:
         return ToxicModel(dict.fromkeys(base, False), frozenset())
-    seen: Counter[str] = Counter()
-    toxic: Counter[str] = Counter()
-    for words, y in texts:
-        seen.update(words)
-        if y:
-            toxic.update(words)
-    terms = {t: False for t in base if toxic[t] >= purity * seen[t] or seen[t] < 3}
-    rest = texts
+    names = list(number)
+    y = np.array(labels)
+    sizes = np.array([len(t) for t in texts])
+    flat, owner = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
+    del texts, marks
+
+    def counts(live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some, bad = live[owner], (live & (y == 1))[owner]
+        return np.bincount(flat[some], minlength=len(names)), np.bincount(flat[bad], minlength=len(names))
+
+    live = np.ones(len(y), bool)
+    seen, toxic = counts(live)
+    at = lambda t, c: int(c[number[t]]) if t in number else 0
+    terms = {t: False for t in base if at(t, toxic) >= purity * at(t, seen) or at(t, seen) < 3}
     for _ in range(rounds):
-        new = {t: stem for t, stem in _terms_of(rest, base, purity).items() if t not in terms}
+        new = {t: stem for t, stem in _terms_of(names, *counts(live), float(y[live].mean()) if live.any() else 0.0, base, purity).items() if t not in terms}
         terms |= new
         exact = LexiconAutomaton(terms)
-        left = [(w, y) for w, y in rest if not any((hit := exact.match(x)) and not hit[1] for x in w)]
-        if not new or len(left) == len(rest):
+        hit = np.array([bool((h := exact.match(w)) and not h[1]) for w in names])
+        left = live & (np.bincount(owner, hit[flat], len(y)) == 0)
+        if not new or left.sum() == live.sum():
             break
-        rest = left
+        live = left
     automaton = LexiconAutomaton(terms)
-    near = {w: hit[0] for w in seen if (hit := automaton.match(w)) and hit[1] and toxic[w] <= 0.5 * seen[w]}
+    near = {w: h[0] for w, a, b in zip(names, seen.tolist(), toxic.tolist(), strict=True) if (h := automaton.match(w)) and h[1] and b <= 0.5 * a}
     alike = Counter(near.values())
     return ToxicModel(terms, frozenset(near), frozenset(t for t, n in alike.items() if n >= LOOKALIKES))
 
@@ -302,6 +310,8 @@ def toxicity(text: str, model: ToxicModel) -> Column:
         scorer = Scorer(model)
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
+        del scorer
+        give_back()
 
     return run(F.col(text).cast("string"))
 
