@@ -185,6 +185,24 @@ def test_near_copies_are_joined_and_others_are_not(spark):
     assert all(out[10 * k + 2] == 10 * k + 2 for k in range(40))
 
 
+def test_similarity_is_exact_at_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    words = ["w%d" % k for k in range(5000)]
+    rows = []
+    for k in range(60):
+        base = rng.choice(words, 600).tolist()
+        for at, changes in enumerate((0, 13, 14)):  # 596 shingles, 5 lost a change: 531 / 661 = 0.803 and 526 / 666 = 0.790
+            other = list(base)
+            for c in range(changes):
+                other[20 + 40 * c] = f"new{at}x{c}"
+            rows.append((10 * k + at, " ".join(other)))
+    one, other = ([r for r in rows if r[0] % 10 != at] for at in (2, 1))
+    classes = lambda x: {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(x, "doc_id long, text string"), simhash.NEAR_COPIES).collect()}
+    found, apart = classes(one), classes(other)
+    assert sum(found[10 * k + 1] == 10 * k for k in range(60)) >= 59
+    assert all(apart[10 * k + 2] == 10 * k + 2 for k in range(60))
+
+
 # --- mixing
 
 def targets(sizes):
