@@ -15,6 +15,7 @@ link does not hang on others that fail; their number still follows that of the f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ RUN_CAP = 4096
 LAYERS = 3
 _CHUNK = 65536
 _SMALL = 64
+#: Rows (key, lanes) that one task sorts and compares.
+ROWS_PER_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -98,7 +101,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     lanes = lane_names(scheme)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(at, 1024) for x in batches for at in range(0, x.num_rows, 1024)):
+        for b in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
             columns: list[list] = [[] for _ in lanes]
             sets = []
             for x in b.column(1):
@@ -276,7 +279,8 @@ def links(fps: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
         yield from _in_runs(batches, scheme)
         give_back()
 
-    found = materialize(index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, big long"), "links")
+    tasks = max(1, math.ceil(fps.count() * 64 * scheme.lanes / ROWS_PER_TASK))
+    found = materialize(index.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, big long"), "links")
     edges = found.where("big is null").select("a", "b")
     big = found.where("big is not null").select(F.col("big").alias("key")).distinct()
     if big.isEmpty():
