@@ -9,8 +9,8 @@ A group of near copies is written as a spanning forest, never as all its pairs.
 distinct fingerprints are indexed) is not cut short: its members are cut into blocks, and each pair of blocks is compared in a task of its own.
 
 With ``similarity`` set, the fingerprints only propose links, and each then has to reach that Jaccard similarity of the two sets of word
-shingles (all of them, as hashes). Small runs then propose LAYERS forests, each of the closest links that those before it left out, so that a
-link does not hang on others that fail; their number still follows that of the fingerprints.
+shingles (all of them, as hashes). Jaccard is not transitive, so a forest is not enough: first, each fingerprint's closest proposal and one other
+are verified; then every other pair within the bound that these links have not joined yet (``crossing``), whatever the size of its run.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,11 @@ class Scheme:
     similarity: float | None = None
     run_cap: int = RUN_CAP
 
+    @property
+    def node(self) -> str:
+        """The column that names what is linked."""
+        return "fp"
+
     @property
     def complete(self) -> bool:
         """Whether the segments are enough to miss no link."""
@@ -212,13 +218,14 @@ def spanning_links(codes: np.ndarray, key_bit: int, scheme: Scheme) -> tuple[np.
     return np.array(out_i, np.int64), np.array(out_j, np.int64), np.array(out_d, np.int64)
 
 
-def _runs(keys: np.ndarray, codes: np.ndarray, scheme: Scheme) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links within runs of equal keys, closest first and none that the others imply; and the keys whose runs are over the cap."""
+def _runs(keys: np.ndarray, ids: np.ndarray, codes: np.ndarray, scheme: Scheme) -> tuple[list[tuple[int, int, int, int]], list[int], set[int]]:
+    """Links (a, b, bits, key) within runs of equal keys, closest first and none that the others imply; the keys whose runs are over the cap; and those that hold other links."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(keys)])))
     of_row = np.repeat(sizes, sizes)
-    small_k, small = keys[of_row <= _SMALL], codes[of_row <= _SMALL]
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    small_k, small_i, small = keys[of_row <= _SMALL], ids[of_row <= _SMALL], codes[of_row <= _SMALL]
+    found = [tuple(np.zeros(0, np.int64) for _ in range(4))]
+    left: set[int] = set()
     for d in range(1, min(_SMALL, len(small_k))):
         at = np.flatnonzero(small_k[d:] == small_k[:-d])
         if not len(at):
@@ -226,82 +233,154 @@ def _runs(keys: np.ndarray, codes: np.ndarray, scheme: Scheme) -> tuple[list[tup
         apart = _apart(small[at], small[at + d])
         near = np.flatnonzero(apart <= scheme.max_bits)
         near = near[first_shared(small[at[near]], small[at[near] + d], scheme) == small_k[at[near]] & 4095]
-        found.append((small[at[near], 0], small[at[near] + d, 0], apart[near]))
+        found.append((small_i[at[near]], small_i[at[near] + d], apart[near], small_k[at[near]]))
     for k in np.flatnonzero((sizes > _SMALL) & (sizes <= scheme.run_cap)):
-        run = codes[starts[k] : starts[k] + sizes[k]]
-        i, j, d = spanning_links(run, int(keys[starts[k]]) & 4095, scheme)
-        found.append((run[i, 0], run[j, 0], d))
-    a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        run = slice(starts[k], starts[k] + sizes[k])
+        i, j, d = spanning_links(codes[run], int(keys[starts[k]]) & 4095, scheme)
+        found.append((ids[run][i], ids[run][j], d, keys[run][i]))
+        if len(d) > 1:
+            left.add(int(keys[starts[k]]))
+    a, b, d, key = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(d, kind="stable")
     layers = [Forest() for _ in range(LAYERS if scheme.similarity is not None else 1)]
-    pairs = zip(a[order].view(np.int64).tolist(), b[order].view(np.int64).tolist(), strict=True)
-    return [e for e in pairs if any(forest.add(*e) for forest in layers)], keys[starts[sizes > scheme.run_cap]].tolist()
+    kept = []
+    for e in zip(*(x[order].tolist() for x in (a, b, d, key)), strict=True):
+        if any(forest.add(e[0], e[1]) for forest in layers):
+            kept.append(e)
+        else:
+            left.add(e[3])
+    return kept, keys[starts[sizes > scheme.run_cap]].tolist(), left if scheme.similarity is not None else set()
 
 
 def _in_runs(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    """Streams rows (key, lanes) that are sorted by key; holds a batch and one run of up to the cap. Yields (a, b, big): links, or an oversize key."""
-    held_k, held = np.zeros(0, np.int64), np.zeros((0, scheme.lanes), np.uint64)
+    """Streams rows (key, node, lanes) that are sorted by key; holds a batch and one run of up to the cap. Yields _FOUND: links, or an oversize key, or one that holds more links."""
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, scheme.lanes), np.uint64)
     over: int | None = None  # a run over the cap: its further rows are only passed by
 
-    def out(edges: list[tuple[int, int]], big: list[int]) -> pa.RecordBatch:
-        none = [None] * len(big)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([e[0] for e in edges] + none, [e[1] for e in edges] + none, [None] * len(edges) + big)], names=["a", "b", "big"])
+    def out(edges: list[tuple[int, int, int, int]], big: list[int], left: set[int]) -> pa.RecordBatch:
+        rows = [*[(*e, None, None) for e in edges], *[(None, None, None, None, k, None) for k in big], *[(None, None, None, None, None, k) for k in left]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "bits", "key", "big", "left"])
 
     for b in batches:
-        k = np.concatenate((held_k, b.column(0).to_numpy(zero_copy_only=False)))
-        c = np.concatenate((held, np.stack([b.column(1 + x).to_numpy(zero_copy_only=False).view(np.uint64) for x in range(scheme.lanes)], 1)))
+        rows = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), _codes(b, 2 - (scheme.node == "fp"), scheme)
+        k, i, c = (np.concatenate(x) for x in zip(held, rows, strict=True))
         if over is not None:
-            k, c = k[k != over], c[k != over]
+            k, i, c = k[k != over], i[k != over], c[k != over]
         if not len(k):
-            held_k, held = k, c
+            held = k, i, c
             continue
         cut = int(np.searchsorted(k, k[-1]))
-        edges, big = _runs(k[:cut], c[:cut], scheme) if cut else ([], [])
-        held_k, held = k[cut:], c[cut:]
-        if len(held_k) > scheme.run_cap:
-            over = int(held_k[0])
+        edges, big, left = _runs(k[:cut], i[:cut], c[:cut], scheme) if cut else ([], [], set())
+        held = k[cut:], i[cut:], c[cut:]
+        if len(held[0]) > scheme.run_cap:
+            over = int(held[0][0])
             big.append(over)
-            held_k, held = k[:0], c[:0]
-        if edges or big:
-            yield out(edges, big)
-    if len(held_k):
-        edges, big = _runs(held_k, held, scheme)
-        if edges or big:
-            yield out(edges, big)
+            held = k[:0], i[:0], c[:0]
+        if edges or big or left:
+            yield out(edges, big, left)
+    if len(held[0]):
+        found = _runs(*held, scheme)
+        if any(found):
+            yield out(*found)
 
 
-def links(fps: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
-    """Links (a, b) between first lanes that span the components of distinct fingerprints."""
+_FOUND = "a long, b long, bits long, key long, big long, left long"
+
+
+def _codes(batch: pa.RecordBatch | pa.Table, first: int, scheme: Scheme) -> np.ndarray:
+    """The lanes, which are the columns from ``first`` on."""
+    return np.stack([np.asarray(batch.column(first + x)).view(np.uint64) for x in range(scheme.lanes)], 1)
+
+
+def _columns(scheme: Scheme) -> list[str]:
+    return list(dict.fromkeys([scheme.node, *lane_names(scheme)]))
+
+
+def key_index(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    return fps.select(F.explode(F.array(*wildcard_keys(scheme))).alias("key"), *_columns(scheme))
+
+
+def _in_blocks(members: DataFrame, scheme: Scheme) -> DataFrame:
+    """Rows of ``members`` for each pair of blocks (key, i, j) that they are in, with their ``own`` block. The number of blocks follows the key's count."""
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(scheme.run_cap / 2)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64(*_columns(scheme)), F.col("blocks")).cast("int"))
+    rest = [c for c in members.columns if c != "key"]
+    return dealt.select(
+        "key", *rest, "own",
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))).alias("p"),
+    ).select("key", "p.i", "p.j", "own", *rest)
+
+
+def _found_links(fps: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, bits, key) that span the components of distinct fingerprints; and, with ``similarity``, the keys that hold others."""
     lanes = lane_names(scheme)
-    index = fps.select(F.explode(F.array(*wildcard_keys(scheme))).alias("key"), *lanes)
+    index = key_index(fps, scheme)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _in_runs(batches, scheme)
         give_back()
 
     tasks = max(1, math.ceil(fps.count() * 64 * scheme.lanes / ROWS_PER_TASK))
-    found = materialize(index.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, big long"), "links")
-    edges = found.where("big is null").select("a", "b")
+    found = materialize(index.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, _FOUND), "links")
+    edges = found.where("a is not null").select("a", "b", "bits", "key")
+    left = found.where("a is null").select(F.coalesce("big", "left").alias("key")).distinct()
     big = found.where("big is not null").select(F.col("big").alias("key")).distinct()
     if big.isEmpty():
-        return edges
+        return edges, left
 
-    # The exact way for keys over the cap: block i meets block j in a task of its own. The number of blocks follows the key's count.
-    members = materialize(index.join(big, "key"), "members")
-    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(scheme.run_cap / 2)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64(*lanes), F.col("blocks")).cast("int"))
-    pairs = dealt.select(
-        "key", *lanes, "own",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))).alias("p"),
-    ).select("key", "p.i", "p.j", *lanes)
+    # The exact way for keys over the cap: block i meets block j in a task of its own.
+    pairs = _in_blocks(materialize(index.join(big, "key"), "members"), scheme)
 
     def compare(group: pa.Table) -> pa.Table:
-        codes = np.stack([group.column(c).to_numpy() for c in lanes], 1)
-        codes = codes[np.lexsort(codes.T)].view(np.uint64)
-        i, j, _ = spanning_links(codes, group.column("key")[0].as_py() & 4095, scheme)
-        return pa.table({"a": codes[i, 0].view(np.int64), "b": codes[j, 0].view(np.int64)})
+        ids, codes = group.column(scheme.node).to_numpy(), np.stack([group.column(c).to_numpy() for c in lanes], 1)
+        order = np.lexsort((ids, *codes.T))
+        ids, codes = ids[order], codes[order].view(np.uint64)
+        key = group.column("key")[0].as_py()
+        i, j, d = spanning_links(codes, key & 4095, scheme)
+        return pa.table({"a": ids[i], "b": ids[j], "bits": d, "key": np.full(len(d), key)})
 
-    return edges.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
+    return edges.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, bits long, key long")), left
+
+
+def links(fps: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
+    """Links (a, b) between nodes that span the components of distinct fingerprints."""
+    return _found_links(fps, scheme)[0].select("a", "b")
+
+
+def crossing(fps: DataFrame, keys: DataFrame, tied: DataFrame, scheme: Scheme) -> DataFrame:
+    """All links (a, b) at these keys, each at the first key that it shares, whose ends the components ``tied`` do not join."""
+    roots = fps.join(tied.withColumnsRenamed({"a": "_a", "b": "_b"}), F.col(scheme.node) == F.col("_a"), "left").withColumn("root", F.coalesce("_b", scheme.node)).select(*_columns(scheme), "root")
+    index = roots.select(F.explode(F.array(*wildcard_keys(scheme))).alias("key"), *_columns(scheme), "root")
+    members = materialize(index.join(broadcast_if_few(keys), "key", "left_semi"), "members")
+    split = members.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
+    pairs = _in_blocks(materialize(members.join(split, "key", "left_semi"), "split"), scheme).select("key", "i", "j", "own", "root", F.col(scheme.node).alias("node"), *lane_names(scheme))
+
+    def of_group(group: list[np.ndarray], codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, i, j, own, root, ids = group
+        for at in range(0, len(ids), 64):
+            x = slice(at, at + 64)
+            cross = (root[x, None] != root[None]) & (np.arange(at, at + len(ids[x]))[:, None] < np.arange(len(ids)))
+            if i[0] != j[0]:
+                cross &= own[x, None] != own[None]
+            p, q = np.nonzero(cross & (_apart(codes[x, None], codes[None]) <= scheme.max_bits))
+            mine = first_shared(codes[at + p], codes[q], scheme) == int(key[0]) & 4095
+            if mine.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + p[mine]]), pa.array(ids[q[mine]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_c = [np.zeros(0, np.int64)] * 6, np.zeros((0, scheme.lanes), np.uint64)
+        for b in chain(batches, [None]):
+            if b is not None:
+                held = [np.concatenate((h, b.column(n).to_numpy(zero_copy_only=False))) for n, h in enumerate(held)]
+                held_c = np.concatenate((held_c, _codes(b, 6, scheme)))
+            new = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
+            cuts = [0, *new.tolist()] + [len(held[0])] * (b is None and len(held[0]) > 0)
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                yield from of_group([h[s:e] for h in held], held_c[s:e])
+            held, held_c = [h[cuts[-1] :] for h in held], held_c[cuts[-1] :]
+        give_back()
+
+    return pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def _similar(edges: DataFrame, distinct: DataFrame, marked: DataFrame, scheme: Scheme) -> DataFrame:
@@ -322,6 +401,22 @@ def _similar(edges: DataFrame, distinct: DataFrame, marked: DataFrame, scheme: S
     return left.join(right, "b").where(shared >= F.lit(scheme.similarity) * (F.size("as") + F.size("bs") - shared)).select("a", "b")
 
 
+def _tied_by_similarity(distinct: DataFrame, marked: DataFrame, scheme: Scheme) -> DataFrame:
+    """Components of all links within the bound whose shingle sets reach the similarity."""
+    fps = distinct.select(*_columns(scheme))
+    found, left = _found_links(fps, scheme)
+    found = materialize(found.where("a <> b"), "found")
+    ends = found.select("a", "b", "bits").union(found.select("b", "a", "bits"))
+    # each node's closest link, and one to the neighbour that comes first in an order that all share, which ties many together at once
+    best = ends.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("near"), F.min(F.struct(F.xxhash64("b"), "b"))["b"].alias("low"))
+    chosen = materialize(best.select("a", F.explode(F.array("near", "low")).alias("b")), "chosen")
+    first = materialize(_similar(chosen, distinct, marked, scheme), "verified")
+    tied = components(first)
+    keys = materialize(left.unionByName(found.select("key")).distinct(), "keys")
+    rest = _similar(materialize(crossing(fps, keys, tied, scheme), "crossing"), distinct, marked, scheme)
+    return components(first.unionByName(rest))
+
+
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """(doc_id, fingerprint, component_id): 16 hex digits a lane, and the smallest doc_id that links reach, itself included.
 
@@ -333,10 +428,10 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     one = F.min(F.struct("doc_id", *lanes[1:])).alias("one")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), one)
     distinct = materialize(distinct.select("fp", "least", F.col("one.doc_id").alias("rep_id"), *[F.col(f"one.{c}") for c in lanes[1:]]), "distinct")
-    edges = links(distinct.select(*lanes), scheme)
-    if scheme.similarity is not None:
-        edges = _similar(edges, distinct, marked, scheme)
-    tied = components(edges)
+    if scheme.similarity is None:
+        tied = components(links(distinct.select(*_columns(scheme)), scheme))
+    else:
+        tied = _tied_by_similarity(distinct, marked, scheme)
     rooted = materialize(distinct.join(tied, distinct["fp"] == tied["a"], "left").select("fp", "least", F.coalesce("b", "fp").alias("root")), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.join(smallest, "root").select("fp", "component_id")

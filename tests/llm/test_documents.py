@@ -203,6 +203,35 @@ def test_similarity_is_exact_at_the_threshold(spark):
     assert all(apart[10 * k + 2] == 10 * k + 2 for k in range(60))
 
 
+def _set_components(sets, ids, at=0.8):
+    """Components of all pairs of sets by brute force."""
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= at * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return [min(ids[k] for k in range(len(ids)) if label[k] == x) for x in label]
+
+
+@pytest.mark.parametrize("cap", [4096, 40])
+def test_every_pair_within_the_bound_is_verified(spark, cap):
+    """A hundred texts around 0.8 of each other: proposals fail often, and others that are farther apart in bits reach it."""
+    rng = np.random.default_rng(8)
+    base, rows = [f"b{k}" for k in range(300)], []
+    for k in range(100):
+        text = list(base)
+        for c in rng.choice(60, int(rng.integers(3, 5)), replace=False):
+            text[5 * int(c)] = f"n{k}x{c}"
+        rows.append((k, " ".join(text)))
+    s = simhash.Scheme(shingle_words=5, lanes=3, max_bits=60, segments=8, similarity=0.8, run_cap=cap)
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    fps = [[simhash.majority(simhash._mixed(simhash.shingle_hashes(t.encode(), 5), lane)) for lane in range(3)] for _, t in rows]
+    assert len(set(map(tuple, fps))) == 100
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), s).collect()}
+    assert [got[k] for k in range(100)] == _set_components(sets, list(range(100)))
+
+
 # --- mixing
 
 def targets(sizes):
