@@ -8,8 +8,8 @@ allowed, no link can be missed (three segments for four bits, the default).
 A group of near copies is written as a spanning forest, never as all its pairs. A key that more than ``run_cap`` fingerprints share (only
 distinct fingerprints are indexed) is not cut short: its members are cut into blocks, and each pair of blocks is compared in a task of its own.
 
-With ``similarity`` set, the fingerprints only propose links, and each then has to reach that Jaccard similarity of the two sets of word
-shingles (all of them, as hashes). Jaccard is not transitive, so a forest is not enough: first, each fingerprint's closest proposal and one other
+With ``similarity`` set, the fingerprints are those of the set of shingles, as repeats do not count in it either, and only propose links; each then
+has to reach that Jaccard similarity of the two sets (all shingles, as hashes). What is linked is a set; only equal sets are one unchecked. Jaccard is not transitive, so a forest is not enough: first, each fingerprint's closest proposal and one other
 are verified; then every other pair within the bound that these links have not joined yet (``crossing``), whatever the size of its run.
 """
 
@@ -49,8 +49,8 @@ class Scheme:
 
     @property
     def node(self) -> str:
-        """The column that names what is linked."""
-        return "fp"
+        """The column that names what is linked: a fingerprint, or (``node``, a hash) all lanes and the set of shingles."""
+        return "fp" if self.similarity is None and self.lanes == 1 else "node"
 
     @property
     def complete(self) -> bool:
@@ -102,7 +102,7 @@ def fingerprint(text: bytes | None, shingle_words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
-    """(doc_id, fp, fp1, ..., shingles) for every row: a column a lane, hashes of all shingles only with ``similarity``. Null texts count as empty."""
+    """(doc_id, fp, fp1, ..., shingles, node) for every row: a column a lane, hashes of all shingles only with ``similarity``. Null texts count as empty."""
     ship(docs.sparkSession)
     lanes = lane_names(scheme)
 
@@ -112,6 +112,8 @@ def fingerprints(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
             sets = []
             for x in b.column(1):
                 h = shingle_hashes(x.as_py(), scheme.shingle_words)
+                if scheme.similarity is not None:
+                    h = np.unique(h)
                 for k, column in enumerate(columns):
                     column.append(majority(_mixed(h, k)))
                 if scheme.similarity is not None:
@@ -122,7 +124,8 @@ def fingerprints(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
         give_back()
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in lanes) + ", shingles array<int>" * (scheme.similarity is not None)
-    return docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).mapInArrow(run, schema)
+    return rows if scheme.node == "fp" else rows.withColumn("node", F.xxhash64(*lanes, *["shingles"] * (scheme.similarity is not None)))
 
 
 def lane_names(scheme: Scheme) -> list[str]:
@@ -383,20 +386,15 @@ def crossing(fps: DataFrame, keys: DataFrame, tied: DataFrame, scheme: Scheme) -
     return pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def _similar(edges: DataFrame, distinct: DataFrame, marked: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links whose shingle sets reach the similarity. ``distinct`` names the row of ``marked`` that stands for each fingerprint."""
+def _similar(edges: DataFrame, marked: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links whose shingle sets reach the similarity."""
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "proposed")
-    linked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "linked")
-    # only the sets of linked fingerprints are moved, one each
-    lanes = lane_names(scheme)
-    chosen = distinct.join(broadcast_if_few(linked), "fp", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in (*lanes, "rep_id")])
-    same = F.col("doc_id").eqNullSafe(F.col("_rep_id"))
-    for c in lanes:
-        same &= F.col(c) == F.col(f"_{c}")
-    sets = materialize(marked.join(broadcast_if_few(chosen), same).select("fp", "shingles").dropDuplicates(["fp"]), "sets")
-    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("as")).join(broadcast_if_few(pairs), "a")
-    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("bs"))
+    linked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "linked")
+    # only the sets of linked nodes are moved, one each
+    sets = materialize(marked.select("node", "shingles").join(broadcast_if_few(linked), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("as")).join(broadcast_if_few(pairs), "a")
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("bs"))
     shared = F.size(F.array_intersect("as", "bs"))
     return left.join(right, "b").where(shared >= F.lit(scheme.similarity) * (F.size("as") + F.size("bs") - shared)).select("a", "b")
 
@@ -410,10 +408,10 @@ def _tied_by_similarity(distinct: DataFrame, marked: DataFrame, scheme: Scheme)
     # each node's closest link, and one to the neighbour that comes first in an order that all share, which ties many together at once
     best = ends.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("near"), F.min(F.struct(F.xxhash64("b"), "b"))["b"].alias("low"))
     chosen = materialize(best.select("a", F.explode(F.array("near", "low")).alias("b")), "chosen")
-    first = materialize(_similar(chosen, distinct, marked, scheme), "verified")
+    first = materialize(_similar(chosen, marked, scheme), "verified")
     tied = components(first)
     keys = materialize(left.unionByName(found.select("key")).distinct(), "keys")
-    rest = _similar(materialize(crossing(fps, keys, tied, scheme), "crossing"), distinct, marked, scheme)
+    rest = _similar(materialize(crossing(fps, keys, tied, scheme), "crossing"), marked, scheme)
     return components(first.unionByName(rest))
 
 
@@ -425,18 +423,16 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """
     marked = materialize(fingerprints(docs, scheme), "fingerprints")
     lanes = lane_names(scheme)
-    one = F.min(F.struct("doc_id", *lanes[1:])).alias("one")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), one)
-    distinct = materialize(distinct.select("fp", "least", F.col("one.doc_id").alias("rep_id"), *[F.col(f"one.{c}") for c in lanes[1:]]), "distinct")
+    distinct = materialize(marked.groupBy(scheme.node).agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in lanes if c != scheme.node]), "distinct")
     if scheme.similarity is None:
         tied = components(links(distinct.select(*_columns(scheme)), scheme))
     else:
         tied = _tied_by_similarity(distinct, marked, scheme)
-    rooted = materialize(distinct.join(tied, distinct["fp"] == tied["a"], "left").select("fp", "least", F.coalesce("b", "fp").alias("root")), "rooted")
+    rooted = materialize(distinct.join(tied, distinct[scheme.node] == tied["a"], "left").select(scheme.node, "least", F.coalesce("b", scheme.node).alias("root")), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(smallest, "root").select("fp", "component_id")
+    of_node = rooted.join(smallest, "root").select(scheme.node, "component_id")
     digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in lanes])
-    return marked.join(of_fp, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return marked.join(of_node, scheme.node).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, scheme: Scheme = NEAR_COPIES) -> DataFrame:

@@ -232,6 +232,17 @@ def test_every_pair_within_the_bound_is_verified(spark, cap):
     assert [got[k] for k in range(100)] == _set_components(sets, list(range(100)))
 
 
+def test_equal_fingerprints_are_verified_too(spark, monkeypatch):
+    """A passage that repeats outweighs the rest of a text; and texts whose lanes are equal still have to reach the similarity."""
+    loops = [(k, "one line goes round again " * 200 + " ".join(f"d{k}x{n}" for n in range(100))) for k in range(6)]
+    loops += [(10, "one line goes round again " * 200 + loops[0][1])]  # the words of the first text, with more repeats
+    classes = lambda x: {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(x, "doc_id long, text string"), simhash.NEAR_COPIES).collect()}
+    assert classes(loops) == {**{k: k for k in range(6)}, 10: 0}
+    one = spark.createDataFrame([(1, 7, 7, 7, [1, 2, 3, 4, 5]), (2, 7, 7, 7, [11, 12, 13, 14, 15]), (3, 7, 7, 7, [1, 2, 3, 4, 5]), (4, 7, 7, 7, [11, 12, 13, 14])], "doc_id long, fp long, fp1 long, fp2 long, shingles array<int>")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, scheme: one.withColumn("node", F.xxhash64("fp", "fp1", "fp2", "shingles")))
+    assert classes([(1, "")]) == {1: 1, 2: 2, 3: 1, 4: 2}
+
+
 # --- mixing
 
 def targets(sizes):
