@@ -89,6 +89,19 @@ def test_concatenated_names_are_split_and_judged(spark):
     assert all(out[k]["verdict"] == "block" for k in range(1000, 1030)) and all(out[k]["verdict"] == "allow" for k in range(300))
 
 
+def test_rare_words_and_tokens_count_beyond_what_is_held(spark):
+    rows = [(k, f"http://name{chr(97 + k % 26)}{chr(97 + k // 26)}.example.com/name{chr(97 + k % 26)}{chr(97 + k // 26)}shop/{k}") for k in range(400)]
+    rows += [(k + 1000, u.replace("http://", "http://www.")) for k, u in rows]
+    rows += [(2000 + k, f"http://casino.{chr(97 + k)}zq.org/{chr(97 + k)}lucky") for k in range(20)] + [(3000, "http://plain.org/qlucky"), (None, None), (1, rows[1][1])]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    key = lambda r: (r["page_id"] is not None, r["page_id"], r["tokens"])
+    whole, parts = (sorted(url_filter.judge_urls(df, held=h).collect(), key=key) for h in (10**6, 100))
+    words, rest = url_filter.word_model(df.select(url_filter.url_parts("url")[0].alias("host")), held=100)
+    assert rest.count() > 100 and len(words.logs) < 200  # with the seeds
+    assert [r[:6] for r in whole] == [r[:6] for r in parts]
+    assert [r["log_odds"] for r in parts] == pytest.approx([r["log_odds"] for r in whole], abs=1e-9)
+
+
 def test_viterbi_splits_best():
     m = url_filter.WordModel({"a": -1.0, "ab": -1.5, "b": -1.2, "ba": -1.0}, 100.0)
     for name in ("", "a", "abba", "aabbab", "bz"):
