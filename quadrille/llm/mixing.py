@@ -21,6 +21,8 @@ REPEATS = 2
 BLOCK = 64
 DOCS_PER_SHARD = 8192
 SEED = 42
+#: Halvings of the interval that holds a group's divisor.
+STEPS = 64
 
 
 def sized(docs: DataFrame, docs_per_shard: int, seed: int) -> DataFrame:
@@ -59,19 +61,33 @@ def source_targets(cells: DataFrame, weights: Sequence[float], share: float, rep
 def sainte_lague(rows: DataFrame, seats: Column, share: Column, most: Column, within: list[str], ties: list[Column]) -> DataFrame:
     """Add ``quota``: of the ``seats`` of each group ``within``, those that each row's ``share`` wins by highest quotient.
 
-    The quotients share / (2k + 1) above share sum / (2 seats) win round(share / divisor) seats at once; only the quotients near that cut,
-    three a row either way, are ranked. ``most`` bounds a row's seats.
+    The quotients share / (2k + 1) of at least 1 / (2 d) win floor(share * d + 1/2) seats at once, for a row's bound ``most`` at the most. Bisection finds the
+    d of each group, a sum a step, at which these are just not more than the seats; only the quotients next to that cut, three a row, are ranked.
     """
     group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(1))
-    rows = rows.withColumns({"_seats": seats, "_share": share, "_most": most})
-    ideal = F.when(F.sum("_share").over(group) > 0, F.col("_share") * F.col("_seats") / F.sum("_share").over(group)).otherwise(0.0)
-    rows = rows.withColumn("_sure", F.greatest(F.least(F.floor(ideal + F.lit(0.5)) - 3, F.col("_most")), F.lit(0)).cast("long"))
+    keep = rows.columns
+    rows = rows.withColumns({"_seats": seats, "_share": share.cast("double"), "_most": F.greatest(most, F.lit(0)).cast("long")})
+    won_at = lambda d: F.least(F.floor(F.col("_share") * d + F.lit(0.5)).cast("long"), F.col("_most"))
+    # the sum is at most share sum * d + half a seat a row; from (2 most + 1) / share on all have what they may
+    sure = F.when(F.sum("_share").over(group) > 0, (F.col("_seats") - F.count(F.lit(1)).over(group) / 2) / F.sum("_share").over(group))
+    full = F.max(F.when(F.col("_share") > 0, (2 * F.col("_most") + 1) / F.col("_share"))).over(group)
+    rows = rows.withColumns({"_low": F.greatest(F.coalesce(sure, F.lit(0.0)), F.lit(0.0)), "_high": F.coalesce(full, F.lit(0.0))})
+    rows = rows.withColumn("_high", F.greatest("_low", "_high"))
+    for step in range(STEPS):
+        at = (F.col("_low") + F.col("_high")) / 2
+        fits = F.sum(won_at(at)).over(group) <= F.col("_seats")
+        rows = rows.withColumn("_fits", fits).withColumns({"_low": F.when(F.col("_fits"), at).otherwise(F.col("_low")), "_high": F.when(F.col("_fits"), F.col("_high")).otherwise(at)})
+        if step % 8 == 7:  # plans stay short
+            rows = materialize(rows, "divisor")
+            if rows.where(F.col("_share") * (F.col("_high") - F.col("_low")) > 0.5).isEmpty():
+                break
+    # one less than the cut gives, so that rounding near it is decided by rank
+    rows = rows.withColumn("_sure", F.greatest(won_at(F.col("_low")) - 1, F.lit(0)).cast("long"))
     rows = rows.withColumn("_left", F.col("_seats") - F.sum("_sure").over(group))
-    near = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(5)).cast("array<long>")))
+    near = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<long>")))
     near = near.withColumn("_quotient", F.when(F.col("_sure") + F.col("_k") < F.col("_most"), F.col("_share") / (2 * (F.col("_sure") + F.col("_k")) + 1)))
-    order = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(1))).orderBy(F.col("_quotient").desc_nulls_last(), *ties, "_k")
+    order = group.orderBy(F.col("_quotient").desc_nulls_last(), *ties, "_k")
     won = near.withColumn("_won", (F.col("_quotient") > 0) & (F.row_number().over(order) <= F.col("_left")))
-    keep = [c for c in rows.columns if not c.startswith("_")]
     return won.groupBy(*keep, "_sure").agg(F.sum(F.col("_won").cast("long")).alias("_more")).select(*keep, (F.col("_sure") + F.coalesce("_more", F.lit(0))).alias("quota"))
 
 

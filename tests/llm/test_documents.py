@@ -281,6 +281,14 @@ def test_apportionment_equals_the_highest_quotients(spark):
         assert got == {n: sum(m == n for _, m in quotients) for n in shares}
 
 
+def test_many_tiny_sources_keep_their_seats_beside_a_hot_one(spark):
+    rows = [("hot", 640_000)] + [("s%04d" % k, 38) for k in range(1000)]
+    df = spark.createDataFrame(rows, "name string, share long")
+    got = {r["name"]: r["quota"] for r in mixing.sainte_lague(df, F.lit(10_594).cast("long"), F.col("share"), F.lit(10**6).cast("long"), [], [F.col("name")]).collect()}
+    won = sorted(((-share / (2 * k + 1), name) for name, share in rows for k in range(11_000 if name == "hot" else 3)))[:10_594]
+    assert got == {name: 0 for name, _ in rows} | dict(Counter(name for _, name in won)) and got["s0999"] == 1
+
+
 def test_mixed_texts_hold_the_words_taken(spark, sf, docs):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     plan = {r["doc_id"]: r["taken"] for r in mixing.mix(df, block=16).where("taken > 0").collect()}
