@@ -8,9 +8,11 @@ allowed, no link can be missed (three segments for four bits, the default).
 A group of near copies is written as a spanning forest, never as all its pairs. A key that more than ``run_cap`` fingerprints share (only
 distinct fingerprints are indexed) is not cut short: its members are cut into blocks, and each pair of blocks is compared in a task of its own.
 
-With ``similarity`` set, the fingerprints are those of the set of shingles, as repeats do not count in it either, and only propose links; each then
-has to reach that Jaccard similarity of the two sets (all shingles, as hashes). What is linked is a set; only equal sets are one unchecked. Jaccard is not transitive, so a forest is not enough: first, each fingerprint's closest proposal and one other
-are verified; then every other pair within the bound that these links have not joined yet (``crossing``), whatever the size of its run.
+With ``similarity`` set, the fingerprints are those of the set of shingles, as repeats do not count in it either, and what is linked is a
+set: only equal sets are one unchecked. The fingerprints' links only propose groups. Jaccard is not transitive, so within a
+group every pair counts, whatever the group's size: the members' shingle sets meet in tasks of a bounded number of rows and shingles,
+which count the shared shingles of each pair and give back a spanning forest of those that reach the similarity. A group of several blocks
+meets its first block, as representatives, before anything else; only members that this leaves outside the largest component then meet all others.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,13 @@ from ..operators.components import components
 from .common import broadcast_if_few, give_back, materialize, ship, utf8
 
 RUN_CAP = 4096
-LAYERS = 3
 _CHUNK = 65536
 _SMALL = 64
 #: Rows (key, lanes) that one task sorts and compares.
 ROWS_PER_TASK = 1_000_000
+#: Members, and shingles of theirs, in a block whose pairs one task verifies; a larger group has more blocks.
+BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -102,7 +105,10 @@ def fingerprint(text: bytes | None, shingle_words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
-    """(doc_id, fp, fp1, ..., shingles, node) for every row: a column a lane, hashes of all shingles only with ``similarity``. Null texts count as empty."""
+    """(doc_id, text_key, fp, fp1, ..., shingles, node) for every row: a hash of the text, a column a lane, hashes of all shingles only with ``similarity``.
+
+    Null texts count as empty.
+    """
     ship(docs.sparkSession)
     lanes = lane_names(scheme)
 
@@ -118,14 +124,18 @@ def fingerprints(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
                     column.append(majority(_mixed(h, k)))
                 if scheme.similarity is not None:
                     sets.append(np.unique((h >> np.uint64(33)).astype(np.int32)))
-            arrays = [b.column(0), *[pa.array(c, pa.int64()) for c in columns]]
+            arrays = [b.column(0), b.column(2), *[pa.array(c, pa.int64()) for c in columns]]
             del columns
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(sets, pa.list_(pa.int32()))] * (scheme.similarity is not None), names=["doc_id", *lanes] + ["shingles"] * (scheme.similarity is not None))
+            if scheme.similarity is not None:
+                arrays.append(pa.array(sets, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
         give_back()
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in lanes) + ", shingles array<int>" * (scheme.similarity is not None)
-    rows = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).mapInArrow(run, schema)
-    return rows if scheme.node == "fp" else rows.withColumn("node", F.xxhash64(*lanes, *["shingles"] * (scheme.similarity is not None)))
+    hashed = ["shingles"] * (scheme.similarity is not None)
+    names = ["doc_id", "text_key", *lanes, *hashed]
+    schema = ", ".join(f"{c} {'array<int>' if c == 'shingles' else 'long'}" for c in names)
+    rows = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"), F.xxhash64("text").alias("text_key")).mapInArrow(run, schema)
+    return rows if scheme.node == "fp" else rows.withColumn("node", F.xxhash64(*lanes, *hashed))
 
 
 def lane_names(scheme: Scheme) -> list[str]:
@@ -145,7 +155,7 @@ def wildcard_keys(scheme: Scheme) -> list[Column]:
 
 
 class Forest:
-    """Union-find over the fingerprints of one batch; ``add`` says whether an edge joins two trees."""
+    """Union-find over what one task links; ``add`` says whether an edge joins two trees."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -195,15 +205,15 @@ def _link_bits(x: np.ndarray, y: np.ndarray, key_bit: int, scheme: Scheme) -> np
     return out
 
 
-def spanning_links(codes: np.ndarray, key_bit: int, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, bits) of a least spanning forest of the links that a key is the first to hold (Prim)."""
+def spanning_links(codes: np.ndarray, key_bit: int, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of a least spanning forest of the links that a key is the first to hold (Prim)."""
     n, max_bits = len(codes), scheme.max_bits
     linked = np.zeros(n, bool)
     for i in range(0, n, 256):
         near = _apart(codes[i : i + 256, None], codes[None]) <= max_bits
         linked[i : i + 256] |= near.sum(1) > 1
     left = np.flatnonzero(linked)
-    out_i, out_j, out_d = [], [], []
+    out_i, out_j = [], []
     nearest, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
     while len(left):
         if not len(best) or best.min() > max_bits:  # start a tree
@@ -214,55 +224,42 @@ def spanning_links(codes: np.ndarray, key_bit: int, scheme: Scheme) -> tuple[np.
         now = left[k]
         out_i.append(nearest[k])
         out_j.append(now)
-        out_d.append(best[k])
         left, best, nearest = np.delete(left, k), np.delete(best, k), np.delete(nearest, k)
         d = _link_bits(codes[now], codes[left], key_bit, scheme)
         nearest, best = np.where(d < best, now, nearest), np.minimum(d, best)
-    return np.array(out_i, np.int64), np.array(out_j, np.int64), np.array(out_d, np.int64)
+    return np.array(out_i, np.int64), np.array(out_j, np.int64)
 
 
-def _runs(keys: np.ndarray, ids: np.ndarray, codes: np.ndarray, scheme: Scheme) -> tuple[list[tuple[int, int, int, int]], list[int], set[int]]:
-    """Links (a, b, bits, key) within runs of equal keys, closest first and none that the others imply; the keys whose runs are over the cap; and those that hold other links."""
+def _runs(keys: np.ndarray, ids: np.ndarray, codes: np.ndarray, scheme: Scheme, forest: Forest) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links (a, b) within runs of equal keys that the forest does not imply yet; the keys whose runs are over the cap."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(keys)])))
     of_row = np.repeat(sizes, sizes)
     small_k, small_i, small = keys[of_row <= _SMALL], ids[of_row <= _SMALL], codes[of_row <= _SMALL]
-    found = [tuple(np.zeros(0, np.int64) for _ in range(4))]
-    left: set[int] = set()
+    found = []
     for d in range(1, min(_SMALL, len(small_k))):
         at = np.flatnonzero(small_k[d:] == small_k[:-d])
         if not len(at):
             break
-        apart = _apart(small[at], small[at + d])
-        near = np.flatnonzero(apart <= scheme.max_bits)
-        near = near[first_shared(small[at[near]], small[at[near] + d], scheme) == small_k[at[near]] & 4095]
-        found.append((small_i[at[near]], small_i[at[near] + d], apart[near], small_k[at[near]]))
+        near = at[_apart(small[at], small[at + d]) <= scheme.max_bits]
+        near = near[first_shared(small[near], small[near + d], scheme) == small_k[near] & 4095]
+        found += zip(small_i[near].tolist(), small_i[near + d].tolist(), strict=True)
     for k in np.flatnonzero((sizes > _SMALL) & (sizes <= scheme.run_cap)):
         run = slice(starts[k], starts[k] + sizes[k])
-        i, j, d = spanning_links(codes[run], int(keys[starts[k]]) & 4095, scheme)
-        found.append((ids[run][i], ids[run][j], d, keys[run][i]))
-        if len(d) > 1:
-            left.add(int(keys[starts[k]]))
-    a, b, d, key = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(d, kind="stable")
-    layers = [Forest() for _ in range(LAYERS if scheme.similarity is not None else 1)]
-    kept = []
-    for e in zip(*(x[order].tolist() for x in (a, b, d, key)), strict=True):
-        if any(forest.add(e[0], e[1]) for forest in layers):
-            kept.append(e)
-        else:
-            left.add(e[3])
-    return kept, keys[starts[sizes > scheme.run_cap]].tolist(), left if scheme.similarity is not None else set()
+        i, j = spanning_links(codes[run], int(keys[starts[k]]) & 4095, scheme)
+        found += zip(ids[run][i].tolist(), ids[run][j].tolist(), strict=True)
+    return [e for e in found if forest.add(*e)], keys[starts[sizes > scheme.run_cap]].tolist()
 
 
 def _in_runs(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    """Streams rows (key, node, lanes) that are sorted by key; holds a batch and one run of up to the cap. Yields _FOUND: links, or an oversize key, or one that holds more links."""
+    """Streams rows (key, node, lanes) that are sorted by key; holds a batch, one run of up to the cap and the forest. Yields _FOUND: links, or an oversize key."""
     held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, scheme.lanes), np.uint64)
     over: int | None = None  # a run over the cap: its further rows are only passed by
+    forest = Forest()
 
-    def out(edges: list[tuple[int, int, int, int]], big: list[int], left: set[int]) -> pa.RecordBatch:
-        rows = [*[(*e, None, None) for e in edges], *[(None, None, None, None, k, None) for k in big], *[(None, None, None, None, None, k) for k in left]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "bits", "key", "big", "left"])
+    def out(edges: list[tuple[int, int]], big: list[int]) -> pa.RecordBatch:
+        rows = [*[(*e, None) for e in edges], *[(None, None, k) for k in big]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "big"])
 
     for b in batches:
         rows = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), _codes(b, 2 - (scheme.node == "fp"), scheme)
@@ -273,21 +270,21 @@ def _in_runs(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.R
             held = k, i, c
             continue
         cut = int(np.searchsorted(k, k[-1]))
-        edges, big, left = _runs(k[:cut], i[:cut], c[:cut], scheme) if cut else ([], [], set())
+        edges, big = _runs(k[:cut], i[:cut], c[:cut], scheme, forest) if cut else ([], [])
         held = k[cut:], i[cut:], c[cut:]
         if len(held[0]) > scheme.run_cap:
             over = int(held[0][0])
             big.append(over)
             held = k[:0], i[:0], c[:0]
-        if edges or big or left:
-            yield out(edges, big, left)
+        if edges or big:
+            yield out(edges, big)
     if len(held[0]):
-        found = _runs(*held, scheme)
-        if any(found):
-            yield out(*found)
+        edges, big = _runs(*held, scheme, forest)
+        if edges or big:
+            yield out(edges, big)
 
 
-_FOUND = "a long, b long, bits long, key long, big long, left long"
+_FOUND = "a long, b long, big long"
 
 
 def _codes(batch: pa.RecordBatch | pa.Table, first: int, scheme: Scheme) -> np.ndarray:
@@ -304,18 +301,31 @@ def key_index(fps: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame, scheme: Scheme) -> DataFrame:
-    """Rows of ``members`` for each pair of blocks (key, i, j) that they are in, with their ``own`` block. The number of blocks follows the key's count."""
+    """Rows of ``members`` for each pair of blocks (key, i, j) that they are in. The number of blocks follows the key's count."""
     blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(scheme.run_cap / 2)).cast("int").alias("blocks"))
     dealt = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64(*_columns(scheme)), F.col("blocks")).cast("int"))
     rest = [c for c in members.columns if c != "key"]
     return dealt.select(
-        "key", *rest, "own",
+        "key", *rest,
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))).alias("p"),
-    ).select("key", "p.i", "p.j", "own", *rest)
+    ).select("key", "p.i", "p.j", *rest)
+
 
+def _spanning(edges: DataFrame) -> DataFrame:
+    """A spanning forest of the edges in each task of a stated number of them: a group of copies comes with links from every task that held a key of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for b in batches:
+            new = np.array([forest.add(*e) for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], bool)
+            yield b.filter(pa.array(new))
+        give_back()
 
-def _found_links(fps: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b, bits, key) that span the components of distinct fingerprints; and, with ``similarity``, the keys that hold others."""
+    return materialize(edges.repartition(max(1, math.ceil(edges.count() / ROWS_PER_TASK))).mapInArrow(run, "a long, b long"), "spanning")
+
+
+def links(fps: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
+    """Links (a, b) between nodes that span the components of distinct fingerprints."""
     lanes = lane_names(scheme)
     index = key_index(fps, scheme)
 
@@ -325,11 +335,10 @@ def _found_links(fps: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
 
     tasks = max(1, math.ceil(fps.count() * 64 * scheme.lanes / ROWS_PER_TASK))
     found = materialize(index.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, _FOUND), "links")
-    edges = found.where("a is not null").select("a", "b", "bits", "key")
-    left = found.where("a is null").select(F.coalesce("big", "left").alias("key")).distinct()
+    edges = _spanning(found.where("a is not null").select("a", "b"))
     big = found.where("big is not null").select(F.col("big").alias("key")).distinct()
     if big.isEmpty():
-        return edges, left
+        return edges
 
     # The exact way for keys over the cap: block i meets block j in a task of its own.
     pairs = _in_blocks(materialize(index.join(big, "key"), "members"), scheme)
@@ -338,81 +347,118 @@ def _found_links(fps: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
         ids, codes = group.column(scheme.node).to_numpy(), np.stack([group.column(c).to_numpy() for c in lanes], 1)
         order = np.lexsort((ids, *codes.T))
         ids, codes = ids[order], codes[order].view(np.uint64)
-        key = group.column("key")[0].as_py()
-        i, j, d = spanning_links(codes, key & 4095, scheme)
-        return pa.table({"a": ids[i], "b": ids[j], "bits": d, "key": np.full(len(d), key)})
+        i, j = spanning_links(codes, group.column("key")[0].as_py() & 4095, scheme)
+        return pa.table({"a": ids[i], "b": ids[j]})
+
+    return edges.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
+def shared_counts(values: np.ndarray, offsets: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set in ``of``: how many of its members each set holds. Set k is ``values[offsets[k] : offsets[k + 1]]``, without repeats."""
+    n = len(offsets) - 1
+    order = np.argsort(values, kind="stable")
+    ranked, holders = values[order], np.repeat(np.arange(n), np.diff(offsets))[order]
+    for x in of.tolist():
+        own = values[offsets[x] : offsets[x + 1]]
+        first = np.searchsorted(ranked, own, "left")
+        many = np.searchsorted(ranked, own, "right") - first
+        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        yield x, np.bincount(holders[at], minlength=n)
+
+
+def verified_links(group: pa.Table, similarity: float) -> tuple[list[int], list[int]]:
+    """(a, b) of a spanning forest, beyond the roots they come with, of the pairs of a mover and any row that reach the similarity."""
+    ids, roots = group.column("node").to_numpy(), group.column("root").to_numpy()
+    sets = group.column("shingles").combine_chunks()
+    offsets = sets.offsets.to_numpy().astype(np.int64)
+    values, offsets = sets.flatten().to_numpy(), offsets - offsets[0]
+    sizes = np.diff(offsets)
+    forest, a, b = Forest(), [], []
+    for node, root in zip(ids.tolist(), roots.tolist(), strict=True):
+        forest.add(node, root)
+    for x, shared in shared_counts(values, offsets, np.flatnonzero(group.column("mover").to_numpy(zero_copy_only=False))):
+        node = int(ids[x])
+        for y in ids[shared >= similarity * (sizes[x] + sizes - shared) - 1e-9].tolist():
+            if forest.add(node, y):
+                a.append(node)
+                b.append(y)
+    return a, b
+
+
+def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of equal (g, i, j), the first columns of sorted rows; holds one of them and a batch."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        keys = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in range(3)], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s == e:
+                continue
+            if held and now != tuple(keys[s]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+            now = tuple(keys[s])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _verified(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Links that are found in the tasks (g, i, j) of the dealt members."""
 
-    return edges.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, bits long, key long")), left
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _by_task(batches):
+            a, b = verified_links(group, similarity)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        give_back()
 
+    rows = dealt.select("g", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "mover", "root", "node", "shingles")
+    return materialize(rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long"), "verified")
 
-def links(fps: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
-    """Links (a, b) between nodes that span the components of distinct fingerprints."""
-    return _found_links(fps, scheme)[0].select("a", "b")
-
-
-def crossing(fps: DataFrame, keys: DataFrame, tied: DataFrame, scheme: Scheme) -> DataFrame:
-    """All links (a, b) at these keys, each at the first key that it shares, whose ends the components ``tied`` do not join."""
-    roots = fps.join(tied.withColumnsRenamed({"a": "_a", "b": "_b"}), F.col(scheme.node) == F.col("_a"), "left").withColumn("root", F.coalesce("_b", scheme.node)).select(*_columns(scheme), "root")
-    index = roots.select(F.explode(F.array(*wildcard_keys(scheme))).alias("key"), *_columns(scheme), "root")
-    members = materialize(index.join(broadcast_if_few(keys), "key", "left_semi"), "members")
-    split = members.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    pairs = _in_blocks(materialize(members.join(split, "key", "left_semi"), "split"), scheme).select("key", "i", "j", "own", "root", F.col(scheme.node).alias("node"), *lane_names(scheme))
-
-    def of_group(group: list[np.ndarray], codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, i, j, own, root, ids = group
-        for at in range(0, len(ids), 64):
-            x = slice(at, at + 64)
-            cross = (root[x, None] != root[None]) & (np.arange(at, at + len(ids[x]))[:, None] < np.arange(len(ids)))
-            if i[0] != j[0]:
-                cross &= own[x, None] != own[None]
-            p, q = np.nonzero(cross & (_apart(codes[x, None], codes[None]) <= scheme.max_bits))
-            mine = first_shared(codes[at + p], codes[q], scheme) == int(key[0]) & 4095
-            if mine.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + p[mine]]), pa.array(ids[q[mine]])], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_c = [np.zeros(0, np.int64)] * 6, np.zeros((0, scheme.lanes), np.uint64)
-        for b in chain(batches, [None]):
-            if b is not None:
-                held = [np.concatenate((h, b.column(n).to_numpy(zero_copy_only=False))) for n, h in enumerate(held)]
-                held_c = np.concatenate((held_c, _codes(b, 6, scheme)))
-            new = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
-            cuts = [0, *new.tolist()] + [len(held[0])] * (b is None and len(held[0]) > 0)
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                yield from of_group([h[s:e] for h in held], held_c[s:e])
-            held, held_c = [h[cuts[-1] :] for h in held], held_c[cuts[-1] :]
-        give_back()
+def _block_count() -> Column:
+    return F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_ROWS), F.sum(F.size("shingles")) / F.lit(BLOCK_SHINGLES))).cast("int")
 
-    return pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
-
-
-def _similar(edges: DataFrame, marked: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links whose shingle sets reach the similarity."""
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs, "proposed")
-    linked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "linked")
-    # only the sets of linked nodes are moved, one each
-    sets = materialize(marked.select("node", "shingles").join(broadcast_if_few(linked), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("as")).join(broadcast_if_few(pairs), "a")
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("bs"))
-    shared = F.size(F.array_intersect("as", "bs"))
-    return left.join(right, "b").where(shared >= F.lit(scheme.similarity) * (F.size("as") + F.size("bs") - shared)).select("a", "b")
-
-
-def _tied_by_similarity(distinct: DataFrame, marked: DataFrame, scheme: Scheme) -> DataFrame:
-    """Components of all links within the bound whose shingle sets reach the similarity."""
-    fps = distinct.select(*_columns(scheme))
-    found, left = _found_links(fps, scheme)
-    found = materialize(found.where("a <> b"), "found")
-    ends = found.select("a", "b", "bits").union(found.select("b", "a", "bits"))
-    # each node's closest link, and one to the neighbour that comes first in an order that all share, which ties many together at once
-    best = ends.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("near"), F.min(F.struct(F.xxhash64("b"), "b"))["b"].alias("low"))
-    chosen = materialize(best.select("a", F.explode(F.array("near", "low")).alias("b")), "chosen")
-    first = materialize(_similar(chosen, marked, scheme), "verified")
+
+def _tied_by_similarity(proposed: DataFrame, marked: DataFrame, scheme: Scheme) -> DataFrame:
+    """Components of all pairs, within the groups (a, b) that fingerprints propose, whose shingle sets reach the similarity."""
+    groups = proposed.select(F.col("a").alias("node"), F.col("b").alias("g")).unionByName(proposed.select(F.col("b").alias("node"), F.col("b").alias("g")).distinct())
+    # only the sets of grouped nodes are moved, one each
+    of_node = marked.select("node", "shingles").join(broadcast_if_few(materialize(groups, "groups")), "node")
+    members = materialize(of_node.groupBy("node").agg(F.first("g").alias("g"), F.first("shingles").alias("shingles")), "members")
+    large = materialize(members.groupBy("g").agg(_block_count().alias("blocks")).where("blocks > 1"), "large")
+    few = broadcast_if_few(large)
+    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    dealt = members.join(few, "g", "left").withColumn("own", own)
+    # the first block's members stand in every task of their group, as representatives
+    tasks = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).otherwise(F.array("own"))
+    dealt = dealt.withColumn("j", F.explode(tasks)).withColumns({"i": F.lit(0), "mover": F.col("own") == F.col("j"), "root": F.col("node")})
+    first = _verified(dealt, scheme.similarity)
     tied = components(first)
-    keys = materialize(left.unionByName(found.select("key")).distinct(), "keys")
-    rest = _similar(materialize(crossing(fps, keys, tied, scheme), "crossing"), marked, scheme)
-    return components(first.unionByName(rest))
+    if large.isEmpty():
+        return tied
+    rooted = members.join(few, "g").join(tied.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "rooted")
+    main = rooted.groupBy("g", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    outside = materialize(rooted.join(broadcast_if_few(main), "g").where("root <> main").drop("main"), "outside")
+    parts = broadcast_if_few(materialize(outside.groupBy("g").agg(_block_count().alias("parts")), "parts"))
+    movers = outside.join(parts, "g").select("g", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("mover"), "root", "node", "shingles")
+    others = rooted.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("own").alias("j"), F.lit(False).alias("mover"), "root", "node", "shingles")
+    return components(first.unionByName(_verified(movers.unionByName(others), scheme.similarity)))
+
+
+def _rooted(docs: DataFrame, scheme: Scheme, *more: str) -> DataFrame:
+    """A row (doc_id, lanes, ``more`` of ``fingerprints``, root) for each row of ``docs``; ``root`` is the same within a component alone."""
+    marked = materialize(fingerprints(docs, scheme), "fingerprints")
+    lanes = lane_names(scheme)
+    distinct = materialize(marked.select(*_columns(scheme)).dropDuplicates([scheme.node]), "distinct")
+    tied = components(links(distinct, scheme))
+    if scheme.similarity is not None:
+        tied = _tied_by_similarity(tied, marked, scheme)
+    tied = broadcast_if_few(tied.select(F.col("a").alias(scheme.node), F.col("b").alias("_root")))
+    return materialize(marked.join(tied, scheme.node, "left").select("doc_id", *lanes, *more, F.coalesce("_root", scheme.node).alias("root")), "rooted")
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
@@ -421,31 +467,29 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     A row for each row of ``docs``. A null or empty text has fingerprint zero and links like any other. A null doc_id
     takes part but is never the smallest, unless all of its component are null. An empty table gives no rows.
     """
-    marked = materialize(fingerprints(docs, scheme), "fingerprints")
-    lanes = lane_names(scheme)
-    distinct = materialize(marked.groupBy(scheme.node).agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in lanes if c != scheme.node]), "distinct")
-    if scheme.similarity is None:
-        tied = components(links(distinct.select(*_columns(scheme)), scheme))
-    else:
-        tied = _tied_by_similarity(distinct, marked, scheme)
-    rooted = materialize(distinct.join(tied, distinct[scheme.node] == tied["a"], "left").select(scheme.node, "least", F.coalesce("b", scheme.node).alias("root")), "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = rooted.join(smallest, "root").select(scheme.node, "component_id")
-    digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in lanes])
-    return marked.join(of_node, scheme.node).select("doc_id", digits.alias("fingerprint"), "component_id")
+    rooted = _rooted(docs, scheme)
+    shared = materialize(rooted.groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in lane_names(scheme)])
+    found = rooted.join(broadcast_if_few(shared), "root", "left")
+    return found.select("doc_id", digits.alias("fingerprint"), F.when(F.col("n") > 1, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, scheme: Scheme = NEAR_COPIES) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; all columns as they were.
+    """``docs`` with one document of each component, that of the smallest doc_id; all columns as they were, whatever their names.
 
-    Of rows that repeat a kept doc_id one stays. Rows without a doc_id stay.
+    Of different texts that share this doc_id the one with the smallest hash stays, and of rows that repeat it one. Different texts of one
+    doc_id in different components all stay, and so do rows without a doc_id.
     """
-    classes = materialize(near_duplicates(docs, scheme).select("doc_id", "component_id"), "classes")
-    gone = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(broadcast_if_few(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    repeated = materialize(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated")
-    if repeated.isEmpty():
-        return kept
-    repeated = broadcast_if_few(repeated)
-    again = F.col("doc_id").cast("long") == F.col("_again")
-    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
+    rooted = _rooted(docs, scheme, "text_key").where("doc_id is not null").select("root", F.struct("doc_id", "text_key").alias("who"))
+    shared = materialize(rooted.groupBy("root").agg(F.min("who").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    in_shared = materialize(rooted.join(broadcast_if_few(shared.select("root", "first")), "root"), "classes")
+    gone = materialize(in_shared.where("who <> first").select("who.*").distinct(), "gone")
+    repeated = materialize(in_shared.where("who = first").groupBy("who").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("who.*"), "repeated")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    who = ["doc_id", "text_key"]
+    kept = keyed.join(broadcast_if_few(gone), who, "left_anti")
+    if not repeated.isEmpty():
+        few = broadcast_if_few(repeated)
+        again = kept.join(few, who, "left_semi").groupBy(*who).agg(F.first("row").alias("row"))
+        kept = kept.join(few, who, "left_anti").select("row").unionByName(again.select("row"))
+    return kept.select("row.*")
