@@ -40,6 +40,26 @@ def test_deep_and_long_pages():
     assert html_text.render("<table><tr><td>" * 3000 + "x").strip() == "x" and len(html_text.render("<p>word " * 50_000).split()) == 50_000
 
 
+@pytest.mark.parametrize("depth", [0, 23, 24, 511, 512, 5000])
+def test_layout_holds_at_any_depth(depth):
+    for tag in ("div", "span", "b"):
+        deep = f"<{tag}>" * depth + "a<p style='display:none'>no<b>no</p><p>b</p><ul><li>c<li>d</ul><table><tr><td>e<td>f<tr><td>gg<td>h</table>" + f"</{tag}>" * depth + "<p>end"
+        assert html_text.render(deep) == "a\n\nb\n\n- c\n- d\n\ne   f\ngg  h\n\nend"
+    assert html_text.render("<div>a" * depth).split("\n") == ["a"] * depth or not depth
+    marks = html_text.render("<ul><li>x" * depth + "<li></ul>y").split("\n") if depth else []
+    assert [m.strip() for m in marks if m.strip()] == ["- x"] * depth + ["y"] * bool(depth)
+
+
+def test_wide_cells_visibility_and_drawings():
+    wide = html_text.render(f"<table><tr><td>{'w' * 300}<td>x<tr><td>a<td>y</table>").split("\n")
+    assert wide[0].index("x") == wide[1].index("y") == 302
+    assert len(html_text.render(f"<table><tr><td>{'w' * 100_000}<td>x" + "<tr><td>a<td>y" * 20_000 + "</table>")) < 1_000_000
+    assert html_text.render("<div style='visibility:hidden'>no<p style='visibility: visible'>yes<b style='visibility:collapse'>no</b>!</p>no</div>end") == "yes!\n\nend"
+    assert html_text.render("<div style='display:none'><p style='visibility:visible'>no</div>end") == "end"
+    assert html_text.render("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs> no <g><text>one</text><text>two</text></g></svg>b") == "a one two b"
+    assert html_text.render("<p>x<math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>") == "xy=2"
+
+
 def test_page_edges(spark):
     rows = spark.createDataFrame([(1, None, "x"), (None, "<p>a", None), (1, None, "x")], "page_id long, html string, text string")
     assert sorted(r["text"] for r in html_text.extract_pages(rows).collect()) == ["", "", "a"]
