@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import EPS
 from ..functions.missing import detected
-from .ranks import rank_table
+from .ranks import quantiles, rank_table
 
 
 def confusion(scores: DataFrame, threshold: float, y: str = "y", score: str = "s") -> DataFrame:
@@ -72,8 +72,8 @@ def best_f1(scores: DataFrame, y: str = "y", score: str = "s") -> DataFrame:
 
 def calibration(scores: DataFrame, bins: int = 10, y: str = "y", score: str = "s") -> DataFrame:
     """(bin, n, mean_score, share_positive) by bins between exact quantiles; empty bins have no row."""
-    edges = scores.agg(F.percentile(score, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_edges"))  # one row
-    binned = scores.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col(score))))
+    edges = F.array(*[F.lit(e).cast("double") for e in quantiles(scores, score, [k / bins for k in range(1, bins)])])
+    binned = scores.withColumn("bin", F.size(F.filter(edges, lambda e: e < F.col(score))))
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(y).alias("share_positive"))
 
 

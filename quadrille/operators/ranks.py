@@ -39,10 +39,25 @@ def rank_table(df: DataFrame, value: str, extra: dict[str, Column] | None = None
 
 
 def percent_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add pct_<column>: average rank of ties over the number of rows that have a value."""
+    """Add pct_<column>: average rank of ties over the number of rows that have a value.
+
+    The rows are written first: values that are computed anew, in another order of summing, would miss their own ranks.
+    """
+    df = materialize(df, "ranked")
     for c in columns:
         ranks = rank_table(df, c)
         n = ranks.agg(F.sum("n").alias("_rows"))
         pct = ranks.crossJoin(F.broadcast(n)).select(F.col("value").alias("_value"), ((F.col("before") + (F.col("n") + 1) / 2) / F.col("_rows")).alias(f"pct_{c}"))
         df = df.join(pct, df[c] == pct["_value"], "left").drop("_value")
     return df
+
+
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float]:
+    """Exact quantiles, linear between the two neighbours, without a task that holds all distinct values. Null without a value."""
+    ranks = rank_table(df, value)
+    n = ranks.agg(F.sum("n")).first()[0] or 0
+    places = [p * (n - 1) for p in shares]
+    wanted = sorted({int(x) + k for x in places for k in (0, 1)})
+    at = F.filter(F.array(*[F.lit(w) for w in wanted]), lambda w: (w >= F.col("before")) & (w < F.col("before") + F.col("n")))
+    found = {w: r["value"] for r in ranks.withColumn("_at", at).where("size(_at) > 0").select("value", "_at").collect() for w in r["_at"]}  # two rows a share at most
+    return [None if not n else found[int(x)] + (x - int(x)) * (found.get(int(x) + 1, found[int(x)]) - found[int(x)]) for x in places]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import EPS
 from ..functions.scalar import stretch
 from ..functions.similarity import similarity
+from .ranks import quantiles
 
 
 def zscores(features: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -56,6 +57,5 @@ def flat(scored_windows: DataFrame, least: float = 0.01) -> bool:
 
 def display(px: DataFrame, bands: Sequence[str] = ("B4", "B3", "B2"), low: float = 0.02, high: float = 0.98) -> DataFrame:
     """(r, c, red, green, blue): bands stretched between two exact percentiles."""
-    stats = px.agg(*[F.percentile(b, F.array(F.lit(low), F.lit(high))).alias(f"_{b}") for b in bands])
-    j = px.crossJoin(F.broadcast(stats))
-    return j.select("r", "c", *[stretch(F.col(b), F.col(f"_{b}")[0], F.col(f"_{b}")[1]).alias(n) for b, n in zip(bands, ("red", "green", "blue"), strict=True)])
+    ends = {b: [F.lit(x) for x in quantiles(px, b, (low, high))] for b in bands}
+    return px.select("r", "c", *[stretch(F.col(b), *ends[b]).alias(n) for b, n in zip(bands, ("red", "green", "blue"), strict=True)])

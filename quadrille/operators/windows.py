@@ -56,10 +56,20 @@ def window_sums(pixels: DataFrame, sums: Mapping[str, Column], height: int, widt
     return cells.groupBy("win_r", "win_c").agg(*[F.sum(k).alias(k) for k in sums])
 
 
+def _squares(k: str, mean: Column) -> Column:
+    """Sum of squared deviations of a window: those about each cell's own mean, and of that about the window's."""
+
+    def about(total: Column, cell: Column) -> Column:
+        n, s, m = (cell[f"_{x}_{k}"] for x in "nsm")
+        return total + F.coalesce(m + n * F.pow(F.try_divide(s, n) - mean, F.lit(2.0)), F.lit(0.0))
+
+    return F.aggregate(f"_c_{k}", F.lit(0.0), about)
+
+
 def window_stats(pixels: DataFrame, values: Mapping[str, Column], height: int, width: int, window: int = WINDOW, stride: int = STRIDE, std: bool = True, row: str = "r", col: str = "c") -> DataFrame:
     """win_r, win_c, n_px and, for each value, its mean and (population) standard deviation; missing values are passed over.
 
-    Deviations of cells are joined by moments, so a large mean costs no digits.
+    Deviations are summed about the means of cells and these about the window's, so a large mean costs no digits.
     """
     sums: dict[str, Column] = {"n_px": F.count(F.lit(1))}
     pixels = pixels.withColumns({f"_v_{k}": v.cast("double") for k, v in values.items()})
@@ -67,15 +77,18 @@ def window_stats(pixels: DataFrame, values: Mapping[str, Column], height: int, w
         v = F.col(f"_v_{k}")
         sums |= {f"_n_{k}": F.count(v), f"_s_{k}": F.sum(v)}
         if std:
-            sums[f"_m_{k}"] = F.var_pop(v) * F.count(v) + F.try_divide(F.sum(v) * F.sum(v), F.count(v))
+            sums[f"_m_{k}"] = F.var_pop(v) * F.count(v)
     cells = _cells(pixels, sums, height, width, window, stride, row, col)
-    out = cells.groupBy("win_r", "win_c").agg(*[F.sum(k).alias(k) for k in sums])
+    totals = [F.sum(k).alias(k) for k in sums if not k.startswith("_m_")]
+    if std:  # a window has a few cells, however many pixels
+        totals += [F.collect_list(F.struct(f"_n_{k}", f"_s_{k}", f"_m_{k}")).alias(f"_c_{k}") for k in values]
+    out = cells.groupBy("win_r", "win_c").agg(*totals)
     stats = []
     for k in values:
-        n, s = F.col(f"_n_{k}"), F.col(f"_s_{k}")
-        stats.append(F.try_divide(s, n).alias(f"{k}_mean"))
+        n, mean = F.col(f"_n_{k}"), F.try_divide(f"_s_{k}", f"_n_{k}")
+        stats.append(mean.alias(f"{k}_mean"))
         if std:
-            stats.append(F.sqrt(F.greatest(F.try_divide(F.col(f"_m_{k}") - F.try_divide(s * s, n), n), F.lit(0.0))).alias(f"{k}_std"))
+            stats.append(F.sqrt(F.try_divide(_squares(k, mean), n)).alias(f"{k}_std"))
     return out.select("win_r", "win_c", "n_px", *stats)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import detected
+from ..storage import materialize
+from .ranks import quantiles
 
 
 def zonal_stats(polygon_pixels: DataFrame, raster: DataFrame, polygons: DataFrame, value: str = "p") -> DataFrame:
@@ -52,10 +54,12 @@ def touched(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def size_tertiles(scored: DataFrame, size: str, value: str, bins: int = 3, threshold: float = 0.5) -> DataFrame:
-    """(size_bin, n, largest, detected_pct, median) by bins of equal counts: right-closed, edges at exact linear quantiles."""
-    inner = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    edges = scored.agg(F.percentile(size, inner).alias("_edges"))  # one row
-    binned = scored.crossJoin(F.broadcast(edges)).withColumn("size_bin", F.size(F.filter("_edges", lambda e: e < F.col(size))))
+    """(size_bin, n, largest, detected_pct, median) by bins of equal counts: right-closed, edges at exact linear quantiles. Edges that coincide raise."""
+    scored = materialize(scored, "scored")
+    edges = quantiles(scored, size, [k / bins for k in range(bins + 1)])
+    if edges[0] is not None and len(set(edges)) <= bins:
+        raise ValueError(f"bin edges have to be unique: {edges}")
+    binned = scored.withColumn("size_bin", F.size(F.filter(F.array(*[F.lit(e).cast("double") for e in edges[1:-1]]), lambda e: e < F.col(size))))
     return binned.groupBy("size_bin").agg(
         F.count(F.lit(1)).alias("n"), F.max(size).alias("largest"), (F.avg(detected(F.col(value), threshold)) * 100).alias("detected_pct"), F.percentile(value, F.lit(0.5)).alias("median")
     )

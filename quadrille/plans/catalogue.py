@@ -81,9 +81,9 @@ def _features(f: Fixtures) -> DataFrame:
 
 # --- windows
 
-@query(duck("px", "hh", "win", "wpx") + "select win_r, win_c, count(*) n_px, " + ", ".join(f"round(avg({b}), 6) {b}_mean, round(stddev_pop({b}), 4) {b}_std" for b in BANDS) + " from wpx group by win_r, win_c")
+@query(duck("px", "hh", "win", "wpx") + "select win_r, win_c, count(*) n_px, " + ", ".join(f"round(avg({b}), 6) {b}_mean, round(stddev_pop({b}), 6) {b}_std" for b in BANDS) + " from wpx group by win_r, win_c")
 def window_features(f):
-    return rounded(windows.window_stats(f.px, {b: F.col(b) for b in BANDS}, f.height, f.width), 6, **{f"{b}_std": 4 for b in BANDS})
+    return rounded(windows.window_stats(f.px, {b: F.col(b) for b in BANDS}, f.height, f.width))
 
 
 @query(duck("px", "hh", "win", "wpx") + "select win_r, win_c, count(*) n_px, " + ", ".join(f"round(avg({_idx(i)}), 6) {i}_mean, round(stddev_pop({_idx(i)}), 6) {i}_std" for i in INDICES) + " from wpx group by win_r, win_c")
@@ -145,11 +145,11 @@ def majority_vote(f):
     return rounded(windows.vote(scored, "pred", "score"), 9)
 
 
-@query(duck("edges", "polypx", "hh") + f""", box as (select min(r) r0, min(c) c0, max(r) r1, max(c) c1 from polypx),
+@query(duck("prob", "hh") + f""", likely as (select r, c from prob where p >= 0.5), box as (select min(r) r0, min(c) c0, max(r) r1, max(c) c1 from likely),
  rw as (select unnest(range(r0, least(r1 + 1, h - {W} + 1), 7)) win_r from box, hh), cw as (select unnest(range(c0, least(c1 + 1, 50 - {W} + 1), 7)) win_c from box)
-select cast(win_r as int) win_r, cast(win_c as int) win_c, round(count(*) / {W * W}::double, 6) frac from rw cross join cw join (select distinct r, c from polypx) m on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c having count(*) / {W * W}::double >= 0.5""")
+select cast(win_r as int) win_r, cast(win_c as int) win_c, round(count(*) / {W * W}::double, 6) frac from rw cross join cw join likely m on r between win_r and win_r + {W - 1} and c between win_c and win_c + {W - 1} group by win_r, win_c having count(*) / {W * W}::double >= 0.5""")
 def reference_windows(f):
-    mask = vectors.mask(f.edges, f.height, f.width)
+    mask = f.prob.where("p >= 0.5").select("r", "c")
     box = mask.agg(F.min("r"), F.min("c"), F.max("r"), F.max("c")).first()
     return rounded(similar.reference_windows(f.spark, f.height, f.width, tuple(box), mask))
 
@@ -217,7 +217,15 @@ def polygon_area(f):
     return rounded(vectors.area(f.edges))
 
 
-@query(duck("edges") + ", cuts as (select * from edges) select distinct poly_id from cuts where poly_id // 10 = 0 and poly_id in (1, 2, 5)")
+def _side(axis: str, at: float, low: float, high: float) -> str:
+    """Whether an edge crosses the side of a box on the line x (or y) = ``at``."""
+    a, b = (axis, "y" if axis == "x" else "x")
+    return f"(({a}1 < {at}) <> ({a}2 < {at}) and {b}1 + ({at} - {a}1) * ({b}2 - {b}1) / ({a}2 - {a}1) between {low} and {high})"
+
+
+@query(duck("edges") + f""", e as (select poly_id, max(case when (x1 between 4 and 15 and y1 between 4 and 18) or {_side("x", 4, 4, 18)} or {_side("x", 15, 4, 18)} or {_side("y", 4, 4, 15)} or {_side("y", 18, 4, 15)} then 1 else 0 end) cut,
+ sum(case when (y1 <= 4) <> (y2 <= 4) and x1 + (4 - y1) * (x2 - x1) / (y2 - y1) > 4 then 1 else 0 end) crossings from edges group by poly_id)
+select poly_id from e where cut = 1 or crossings % 2 = 1""")
 def polygons_in_box(f):
     return vectors.intersecting_box(f.edges, 4.0, 4.0, 15.0, 18.0)
 
@@ -281,15 +289,16 @@ def union_scores(f):
 
 # --- labels
 
-def _labelled(f: Fixtures) -> DataFrame:
+def _labelled(f: Fixtures, windows_of: DataFrame | None = None) -> DataFrame:
+    """Windows (by default with their built-up score) with the covered share and its label."""
     frac = windows.overlap_fraction(vectors.mask(f.edges, f.height, f.width), f.height, f.width)
-    built = labels.built_up(_features(f).drop("n_px"))
-    return built.join(frac, ["win_r", "win_c"], "left").withColumn("frac", F.coalesce("frac", F.lit(0.0))).withColumn("label", labels.label(F.col("frac")))
+    every = labels.built_up(_features(f).drop("n_px")) if windows_of is None else windows_of
+    return every.join(frac, ["win_r", "win_c"], "left").withColumn("frac", F.coalesce("frac", F.lit(0.0))).withColumn("label", labels.label(F.col("frac")))
 
 
-@query(duck("px", "hh", "win", "wpx", "feat", "edges", "polypx", "frac", "built", "lab") + "select win_r, win_c, round(frac, 6) frac, label from lab")
+@query(duck("edges", "polypx", "hh", "win", "frac") + "select win_r, win_c, round(frac, 6) frac, case when frac >= 0.5 then 'positive' when frac > 0 then 'ambiguous' else 'negative' end as label from frac")
 def label_windows(f):
-    return rounded(_labelled(f).select("win_r", "win_c", "frac", "label"))
+    return rounded(_labelled(f, windows.all_windows(f.spark, f.height, f.width)).select("win_r", "win_c", "frac", "label"))
 
 
 @query(duck("px", "hh", "win", "wpx", "feat", "built") + "select win_r, win_c, round(bright, 6) brightness, round(built_score, 6) built_score from built")
@@ -298,17 +307,17 @@ def builtup_rank(f):
 
 
 _PICK = "md5(concat_ws(':', '{}', cast(win_r as varchar), cast(win_c as varchar)))"
-_HARD = duck("px", "hh", "win", "wpx", "feat", "edges", "polypx", "frac", "built", "lab") + f", neg as (select * from lab where label = 'negative'), hard as (select * from (select * from neg order by built_score desc, win_r, win_c limit 12) order by {_PICK.format(42)}, win_r, win_c limit 3)\n"
+_HARD = duck("px", "hh", "win", "wpx", "feat", "edges", "polypx", "frac", "built", "lab") + f", neg as (select * from lab where frac < 0.1), hard as (select * from (select * from neg order by built_score desc, win_r, win_c limit 12) order by {_PICK.format(42)}, win_r, win_c limit 3)\n"
 
 
 @query(_HARD + "select win_r, win_c, round(built_score, 6) built_score from hard")
 def hard_negatives(f):
-    return rounded(labels.hard_negatives(_labelled(f).where("label = 'negative'"), 3).select("win_r", "win_c", "built_score"))
+    return rounded(labels.hard_negatives(_labelled(f).where("frac < 0.1"), 3).select("win_r", "win_c", "built_score"))
 
 
 @query(_HARD + f"select win_r, win_c from neg where (win_r, win_c) not in (select (win_r, win_c) from hard) order by {_PICK.format(43)}, win_r, win_c limit 4")
 def easy_negatives(f):
-    negatives = _labelled(f).where("label = 'negative'")
+    negatives = _labelled(f).where("frac < 0.1")
     return labels.easy_negatives(negatives, labels.hard_negatives(negatives, 3), 4).select("win_r", "win_c")
 
 
@@ -376,6 +385,30 @@ def polygonize_blobs(f):
     return objects.polygonize(_on(f))
 
 
+@query(duck("prob", "comp") + """, sides as (select * from (values (0, -1, 0, 0, 1, 0), (1, 0, 1, 0, 1, 1), (0, 1, 1, 1, 0, 1), (-1, 0, 0, 1, 0, 0)) t(dc, dr, ac, ar, bc, br))
+select a.blob_id, a.c + ac x1, a.r + ar y1, a.c + bc x2, a.r + br y2 from comp a cross join sides left join comp n on n.r = a.r + dr and n.c = a.c + dc and n.blob_id = a.blob_id where n.blob_id is null""")
+def blob_outlines(f):
+    return objects.outline_edges(_on(f))
+
+
+def _at_threshold(t: float) -> str:
+    """Both rows of object figures at a threshold: all objects, and those of the stricter filter."""
+    base = duck("prob", "comp", "blobs", "edges", "polypx", "polygons").replace(f"p >= {OBJECT_THRESHOLD}", f"p >= {t}")
+    figures = []
+    for name, rule in (("raw", "n_px >= 3"), ("strict", "n_px >= 5 and mean_prob >= 0.8")):
+        base += f""", {name}_k as (select * from blobs where {rule}), {name}_h as (select distinct blob_id from comp where (r, c) in (select (r, c) from polypx) and blob_id in (select blob_id from {name}_k)),
+ {name}_s as (select p.poly_id, coalesce(avg(case when x.r is null then null when k.blob_id is not null then 1 else 0 end), 0) share from polygons p left join polypx x on x.poly_id = p.poly_id left join comp on comp.r = x.r and comp.c = x.c left join {name}_k k on k.blob_id = comp.blob_id group by p.poly_id)"""
+        end = "" if name == "raw" else "_filt"
+        figures.append(f'(select count(*) from {name}_k) n_pred{end}, round((select count(*) from {name}_h) / greatest((select count(*) from {name}_k), 1)::double, 6) "precision{end}", (select round(count(*) filter (share >= 0.25) / greatest(count(*), 1)::double, 6) from {name}_s) recall{end}')
+    return f"select {t}::double threshold, * from ({base} select {', '.join(figures)})"
+
+
+@query(" union all ".join(_at_threshold(t) for t in (0.7, 0.9)))
+def operating_table(f):
+    px = vectors.rasterize(f.edges, f.height, f.width)
+    return rounded(objects.operating_table(f.prob, f.width, (0.7, 0.9), 3, 5, 0.8, px.select("r", "c").distinct(), px, f.polygons))
+
+
 @query(duck("prob", "comp") + "select blob_id, cast(count(*) as double) area from comp group by blob_id")
 def dissolve_blobs(f):
     return objects.dissolve(objects.polygonize(_on(f))).select("blob_id", "area")
@@ -506,21 +539,63 @@ def warp_nearest(f):
     return warp.nearest(f.dsm, source, target, "z")
 
 
-@query("select o_orderkey id, round(-36.5::double + (o_orderkey % 700) / 100.0::double, 6) lon, round(-11::double + (o_orderkey % 1000) / 500.0::double, 6) lat from orders where o_orderkey < 1000")
+def _utm_sql(points: str, meridian: float = -33.0) -> str:
+    """Common table expressions that turn ``points`` (..., lon, lat) into ``utm`` (..., e, n): the series of Krueger on GRS80, from its parameters."""
+    n = 1 / (2 * 298.257222101 - 1)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    k = 2 * n**0.5 / (1 + n)
+    d = lambda x: f"{x!r}::double"
+    terms = lambda f, g: " + ".join(f"{d(a)} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate(alpha, 1))
+    return f"""p0 as ({points}),
+ p1 as (select *, radians(lon - {d(meridian)}) q, sinh(atanh(sin(radians(lat))) - {d(k)} * atanh({d(k)} * sin(radians(lat)))) t from p0),
+ p2 as (select *, atan2(t, cos(q)) xi, atanh(sin(q) / sqrt(1 + t * t)) eta from p1),
+ utm as (select * exclude (q, t, xi, eta), 500000 + {d(radius)} * (eta + {terms("cos", "sinh")}) e, 10000000 + {d(radius)} * (xi + {terms("sin", "cosh")}) n from p2)
+"""
+
+
+@query("with " + _utm_sql("select o_orderkey id, -36.5::double + (o_orderkey % 700) / 100.0::double lon, -11::double + (o_orderkey % 1000) / 500.0::double lat from orders") + "select id, round(e, 3) e, round(n, 3) n, round(lon, 6) lon, round(lat, 6) lat from utm")
 def utm_roundtrip(f):
     from ..operators import crs
 
-    rows = f.spark.table("orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("id"), (F.lit(-36.5) + (F.col("o_orderkey") % 700) / F.lit(100.0)).alias("lon"), (F.lit(-11.0) + (F.col("o_orderkey") % 1000) / F.lit(500.0)).alias("lat"))
+    rows = f.spark.table("orders").select(F.col("o_orderkey").alias("id"), (F.lit(-36.5) + (F.col("o_orderkey") % 700) / F.lit(100.0)).alias("lon"), (F.lit(-11.0) + (F.col("o_orderkey") % 1000) / F.lit(500.0)).alias("lat"))
     e, n = crs.transform(F.col("lon"), F.col("lat"), 4674, 31985)
     lon, lat = crs.transform(F.col("e"), F.col("n"), 31985, 4326)
-    return rounded(rows.select("id", e.alias("e"), n.alias("n")).select("id", lon.alias("lon"), lat.alias("lat")))
+    return rounded(rows.select("id", e.alias("e"), n.alias("n")).select("id", "e", "n", lon.alias("lon"), lat.alias("lat")), e=3, n=3)
+
+
+_CORNERS = "select poly_id, part, ring, seq, k, -36::double + x * 0.0001::double lon, -9.5::double - y * 0.0001::double lat from (select poly_id, part, ring, seq, 1 k, x1 x, y1 y from edges union all select poly_id, part, ring, seq, 2, x2, y2 from edges) q"
+
+
+@query(duck("edges").rstrip() + ", " + _utm_sql(_CORNERS, -33.0) + """, w as (select poly_id, part, ring, seq, max(e) filter (k = 1) - 200000 x1, max(n) filter (k = 1) - 8900000 y1, max(e) filter (k = 2) - 200000 x2, max(n) filter (k = 2) - 8900000 y2 from utm group by all)
+select poly_id, round(sum(case when ring = 0 then a else -a end), 6) area_ha from (select poly_id, part, ring, abs(sum(x1*y2 - x2*y1) / 2) / 10000 a from w group by all) group by poly_id""")
+def polygon_hectares(f):
+    """Area in hectares, through the metres of a projected system."""
+    from ..operators import crs
+
+    degrees = f.edges.withColumns({k: F.lit(-36.0) + F.col(k) * F.lit(0.0001) for k in ("x1", "x2")} | {k: F.lit(-9.5) - F.col(k) * F.lit(0.0001) for k in ("y1", "y2")})
+    metres = crs.transform_edges(degrees, 4674, 31985)
+    near = metres.withColumns({"x1": F.col("x1") - 200_000, "x2": F.col("x2") - 200_000, "y1": F.col("y1") - 8_900_000, "y2": F.col("y2") - 8_900_000})
+    return rounded(vectors.area(near, 10_000.0).withColumnRenamed("area", "area_ha"))
+
+
+#: Strips between neighbouring heights, and in these between neighbouring crossings, lie wholly inside or outside of any polygon.
+_STRIPS = """, every as (select poly_id // 10 b, 0 side, poly_id id, x1, y1, x2, y2 from edges union all select poly_id // 10, 1, poly_id, x1 + 1, y1 + 1, x2 + 1, y2 + 1 from edges),
+ met as (select a.b, a.y1, a.y2, ((c.x1 - a.x1) * (c.y2 - c.y1) - (c.y1 - a.y1) * (c.x2 - c.x1)) / nullif((a.x2 - a.x1) * (c.y2 - c.y1) - (a.y2 - a.y1) * (c.x2 - c.x1), 0) t from every a join every c on a.b = c.b),
+ hs as (select b, y1 y from every union select b, y1 + t * (y2 - y1) from met where t between 0 and 1),
+ slabs as (select b, y lo, lead(y) over (partition by b order by y) hi from hs),
+ xs as (select s.b, lo, hi, side, id, x1 + ((lo + hi) / 2 - y1) * (x2 - x1) / (y2 - y1) x from slabs s join every e on e.b = s.b and (y1 <= (lo + hi) / 2) <> (y2 <= (lo + hi) / 2)),
+ cuts as (select b, lo, hi, x, lead(x) over (partition by b, lo order by x) nx from (select distinct b, lo, hi, x from xs)),
+ inside as (select s.b, s.lo, s.hi, s.x, s.nx, side, id from cuts s join xs on xs.b = s.b and xs.lo = s.lo and xs.x > (s.x + s.nx) / 2 group by all having count(*) % 2 = 1)
+select i.id poly_id, round(100 * sum(case when o.b is not null then (i.nx - i.x) * (i.hi - i.lo) else 0 end) / sum((i.nx - i.x) * (i.hi - i.lo)), 1) overlap_pct
+ from inside i left join (select distinct b, lo, x from inside where side = 1) o on o.b = i.b and o.lo = i.lo and o.x = i.x where i.side = 0 group by i.id"""
 
 
-@query("select poly_id, pct overlap_pct from (select cast(b.block*10+k as bigint) poly_id, pct from (values (1, 81.3), (2, 0.0), (3, 0.0), (4, 0.0), (5, 0.0), (6, 0.0)) t(k, pct) cross join (select distinct o_orderkey // 1500 block from orders) b)".replace("(1, 81.3)", "(1, 75.1::double)"))
+@query(duck("edges") + _STRIPS)
 def polygon_overlap(f):
     from ..operators import overlay
 
-    moved = f.edges.where("poly_id % 10 = 1").withColumns({k: F.col(k) + 1.0 for k in ("x1", "y1", "x2", "y2")})
+    moved = f.edges.withColumns({k: F.col(k) + 1.0 for k in ("x1", "y1", "x2", "y2")})
     return overlay.overlap_percent(f.edges, moved, 10.0)
 
 
@@ -528,7 +603,7 @@ def polygon_overlap(f):
 def one_class_svm(f):
     from ..operators import models
 
-    columns = [f"f{k}" for k in range(16)]
+    columns = [f"f{k}" for k in range(64)]
     return rounded(models.one_class_scores(_vectors(f), columns, F.col("label") == 0).select("vec_id", "svm_score", "svm_inlier"))
 
 

@@ -232,3 +232,27 @@ def test_zonal_of_a_polygon_without_pixels(spark):
     raster = spark.createDataFrame([(0, 0, 0.7)], "r int, c int, p double")
     polygons = spark.createDataFrame([(1,), (2,)], "poly_id long")
     assert {tuple(r) for r in zonal.zonal_stats(px, raster, polygons).collect()} == {(1, 0.7, 0.7, 1), (2, None, None, 0)}
+
+
+def test_deviations_keep_their_digits_beside_a_large_mean(spark):
+    rng = np.random.default_rng(4)
+    values = 1e9 + rng.normal(0, 2, (25, 25))
+    px = spark.createDataFrame([(r, c, float(values[r, c])) for r in range(25) for c in range(25)], "r int, c int, v double")
+    for w in windows.window_stats(px, {"v": F.col("v")}, 25, 25).collect():
+        part = values[w["win_r"] : w["win_r"] + 15, w["win_c"] : w["win_c"] + 15]
+        assert abs(w["v_std"] - part.std()) < 1e-6 and abs(w["v_mean"] - part.mean()) < 1e-5
+
+
+def test_quantiles_equal_linear_interpolation(spark):
+    rng = np.random.default_rng(5)
+    values = np.round(rng.normal(0, 1, 500), 1)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    shares = [0.0, 0.02, 0.25, 1 / 3, 0.5, 0.98, 1.0]
+    assert np.allclose(ranks.quantiles(df, "v", shares), np.quantile(values, shares))
+    assert ranks.quantiles(df.where("v is null"), "v", [0.5]) == [None]
+
+
+def test_equal_bin_edges_raise(spark):
+    rows = spark.createDataFrame([(1.0, 0.1)] * 9 + [(2.0, 0.2)], "size double, p double")
+    with pytest.raises(ValueError, match="unique"):
+        zonal.size_tertiles(rows, "size", "p")
