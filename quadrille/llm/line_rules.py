@@ -5,7 +5,8 @@ likeliest labelling, and the share of words in content lines decides whether the
 beside it, and two plain rules come first.
 
 The field is fitted by maximum likelihood on a bounded sample of labelled texts: the lines of good texts are content,
-those of bad texts boilerplate.
+those of bad texts boilerplate. Whole texts have one label throughout and say nothing of changes, so as many chains again are spliced: runs of lines of a good
+text and of a bad one by turns. From these the field learns what a line looks like beside the other kind, and how often the label changes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ FIT_ROWS = 4000
 FIT_CHARS = 100_000
 FIT_LINES = 48
 FIT_CHAINS = 4000
+#: Longest run of lines of one kind in a spliced chain.
+FIT_RUN = 8
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 LEAST_CONTENT = 0.5
@@ -74,32 +77,47 @@ def word_lines(text: bytes) -> Iterator[tuple[bytes, int, bool]]:
             seen.add(line)
 
 
+def spliced(good: list[list], bad: list[list], rng: np.random.Generator, longest: int = FIT_LINES, run: int = FIT_RUN) -> tuple[list, list[int]]:
+    """(rows, labels) of a chain that takes runs of lines of a good and of a bad text by turns, each text in its own order."""
+    texts, at, rows, labels = (good[rng.integers(len(good))], bad[rng.integers(len(bad))]), [0, 0], [], []
+    label = int(rng.integers(2))
+    while at[label] < len(texts[label]) and len(rows) < longest:
+        taken = texts[label][at[label] : at[label] + int(rng.integers(1, run + 1))][: longest - len(rows)]
+        rows += taken
+        labels += [label] * len(taken)
+        at[label] += len(taken)
+        label = 1 - label
+    return rows, labels
+
+
 def fit_field(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, l2: float = 1e-3, seed: int = 7) -> LineField:
-    """Maximum likelihood by forward-backward and Adam over at most FIT_CHAINS chains of FIT_LINES lines. Without both kinds of text, all lines are content."""
+    """Maximum likelihood by forward-backward and Adam over at most FIT_CHAINS chains of FIT_LINES lines, and as many spliced ones. Without both kinds of text, all lines are content."""
     rng = np.random.default_rng(seed)
-    chains: list[tuple[list[list[float]], int]] = []
+    chains: list[tuple[list[list[float]], list[int]]] = []
+    texts: tuple[list, list] = ([], [])
     for text, good in sample:
         rows = [line_features(*x) for x in word_lines(text.encode())]
-        chains += [(rows[i : i + FIT_LINES], 1 - good) for i in range(0, len(rows), FIT_LINES)]
+        if rows:
+            texts[1 - good].append(rows)
+        chains += [(part, [1 - good] * len(part)) for i in range(0, len(rows), FIT_LINES) if (part := rows[i : i + FIT_LINES])]
     d = len(LINE_FEATURES)
-    if len({y for _, y in chains}) < 2:
+    if not texts[0] or not texts[1]:
         return LineField(np.zeros(d), -1.0, np.zeros(2), np.zeros((2, 2)), np.zeros(d), np.ones(d))
     if len(chains) > FIT_CHAINS:
         chains = [chains[i] for i in np.sort(rng.choice(len(chains), FIT_CHAINS, replace=False))]
+    chains += [spliced(*texts, rng) for _ in chains]
     n, longest = len(chains), max(len(c) for c, _ in chains)
-    x, live = np.zeros((n, longest, d)), np.zeros((n, longest), bool)
-    y = np.array([y for _, y in chains])
-    for i, (c, _) in enumerate(chains):
-        x[i, : len(c)], live[i, : len(c)] = c, True
+    x, live, y = np.zeros((n, longest, d)), np.zeros((n, longest), bool), np.zeros((n, longest), int)
+    for i, (c, labels) in enumerate(chains):
+        x[i, : len(c)], live[i, : len(c)], y[i, : len(c)] = c, True, labels
     mean, scale = x[live].mean(0), x[live].std(0)
     scale[scale < 1e-9] = 1
     x = np.where(live[:, :, None], (x - mean) / scale, 0)
-    # a chain has one label throughout, so its score is that of the pair (y, y) at every step
     theta = np.zeros(d + 1 + 2 + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     ends = live.sum(1) - 1
-    steps = live[:, 1:].sum(1)
-    want = np.concatenate([(x * (y[:, None, None] * live[:, :, None])).sum((0, 1)), [(y * live.sum(1)).sum()], [(y == 0).sum(), (y == 1).sum()], [steps[y == 0].sum(), 0, 0, steps[y == 1].sum()]])
+    pairs = np.bincount((2 * y[:, :-1] + y[:, 1:])[live[:, 1:]], minlength=4)
+    want = np.concatenate([(x * y[:, :, None]).sum((0, 1)), [y.sum()], [(y[:, 0] == 0).sum(), (y[:, 0] == 1).sum()], pairs])
     lse = lambda a, axis: np.log(np.exp(a - (top := a.max(axis, keepdims=True))).sum(axis)) + top.squeeze(axis)
     for t in range(1, rounds + 1):
         w, b, start, step = theta[:d], theta[d], theta[d + 1 : d + 3], theta[d + 3 :].reshape(2, 2)
@@ -158,7 +176,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
             rows = [judge(t.as_py() or b"", field) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)]], names=["doc_id", *names])
 

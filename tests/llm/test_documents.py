@@ -257,6 +257,30 @@ def test_equal_fingerprints_are_verified_too(spark, monkeypatch):
     assert classes([(1, "")]) == {1: 1, 2: 2, 3: 1, 4: 2}
 
 
+CLASHES = ["_gone", "_again", "_id", "_n", "_size", "_span", "_spans", "_passes", "row", "root", "node", "text_key", "text_crc32", "slot", "id", "key", "cut", "span", "first", "who"]
+
+
+def clashing_docs(spark):
+    """Two different texts of one id and size, a copy of one under another id, a repeated row; names that operators use inside."""
+    texts = [(1, "a b c d e f g h"), (1, "q r s t u v w x"), (2, "a b c d e f g h"), (3, "lone words of their own here now ok"), (3, "lone words of their own here now ok"), (None, "a b c d e f g h")]
+    return spark.createDataFrame([(k, t, "en", "s", len(t), *[9] * len(CLASHES)) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHES))
+
+
+def test_clashing_names_and_repeated_ids(spark, tmp_path):
+    docs = clashing_docs(spark)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"][0], r["who"]) for r in kept.collect()) == [(0, "a", 9), (1, "a", 9), (1, "q", 9), (3, "l", 9)]
+    mixed = mixing.mixed_texts(docs, block=4)
+    assert mixed.columns == docs.columns and mixed.where("_span = 9").count() == mixed.count()
+    want = mixing.mix(docs, block=4).where("doc_id = 1").groupBy("text_key").agg(F.sum("taken").alias("n")).collect()
+    got = mixed.where("doc_id = 1").groupBy(F.substring("text", 1, 1)).agg(F.sum(F.size(F.split(F.trim("text"), " ")))).collect()
+    assert sorted(r["n"] for r in want if r["n"]) == sorted(r[1] for r in got)
+    sharding.write_shards(docs, f"file://{tmp_path}/out", shards=2)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert set(back.columns) == {*docs.columns, "shard"} and back.select(*docs.columns).exceptAll(docs).isEmpty() and back.count() == docs.count()
+
+
 # --- mixing
 
 def targets(sizes):
@@ -470,3 +494,21 @@ def test_model_edges(spark):
 def test_repeated_words_beyond_one_number():
     words = [str(k).encode() for k in range(3_000_000 // 1000)] * 2
     assert surface.repeated_words(words) == len(words)
+
+
+def test_lines_of_the_other_kind_are_marked_within_a_text(spark):
+    """Lines of bad texts planted into good ones that the fit has not seen: their labels are known."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("text is not null").orderBy("doc_id").select("doc_id", "text", "quality").collect()
+    field = line_rules.fit_field([(r["text"], r["quality"]) for r in rows if r["doc_id"] % 2 == 0][:1500])
+    lines = {q: [x for r in rows if r["doc_id"] % 2 and r["quality"] == q and len(x := list(line_rules.word_lines(r["text"].encode()))) >= 2] for q in (0, 1)}
+    rng = np.random.default_rng(3)
+    right = total = found = planted = 0
+    for good in [x for x in lines[1] if len(x) >= 6][:300]:
+        bad = lines[0][rng.integers(len(lines[0]))][: int(rng.integers(1, 4))]
+        at = int(rng.integers(0, len(good)))
+        want = [0] * at + [1] * len(bad) + [0] * (len(good) - at)
+        got = field.decode(field.emissions(np.array([line_rules.line_features(*x) for x in [*good[:at], *bad, *good[at:]]])).tolist())
+        right, total = right + sum(a == b for a, b in zip(got, want, strict=True)), total + len(want)
+        found, planted = found + sum(a and b for a, b in zip(got, want, strict=True)), planted + len(bad)
+    assert right >= 0.92 * total and found >= 0.55 * planted
