@@ -26,13 +26,13 @@ STEPS = 64
 
 
 def sized(docs: DataFrame, docs_per_shard: int, seed: int) -> DataFrame:
-    """doc_id, source, size in words, shard of the source and seeded place in its line. A source has a shard for each ``docs_per_shard``."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, size in words, a hash of the text, shard of the source and seeded place in its line. A source has a shard for each ``docs_per_shard``."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_key"))
     rows = materialize(rows, "sizes")
     shards = rows.groupBy(F.col("source").alias("_source")).agg(F.ceil(F.count(F.lit(1)) / docs_per_shard).alias("_shards"))
     key = F.xxhash64(F.lit(seed), "doc_id", "size")
     rows = rows.join(shards, F.col("source").eqNullSafe(F.col("_source")))
-    return rows.select("doc_id", "source", "size", key.alias("place"), F.pmod(F.xxhash64(key, F.lit(1)), F.col("_shards")).cast("int").alias("shard"))
+    return rows.select("doc_id", "source", "size", "text_key", key.alias("place"), F.pmod(F.xxhash64(key, F.lit(1)), F.col("_shards")).cast("int").alias("shard"))
 
 
 def source_targets(cells: DataFrame, weights: Sequence[float], share: float, repeats: float) -> DataFrame:
@@ -111,7 +111,7 @@ def quotas(cells: DataFrame, weights: Sequence[float], share: float, repeats: fl
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, docs_per_shard: int = DOCS_PER_SHARD, seed: int = SEED) -> DataFrame:
     """What the mix takes of every row of ``docs``.
 
-    Returns doc_id, size, source_size, target, taken, passes (whole times) and spans (word ranges [from, to) taken once more).
+    Returns doc_id, size, source_size, target, taken, passes (whole times), spans (word ranges [from, to) taken once more) and text_key (a hash of the text).
     A null or empty text has size 0 and is not taken. Rows that repeat are taken each on its own. An empty table gives no
     rows. Other columns, whatever their names, are ignored.
     """
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     cells = rows.groupBy("source", "shard").agg(F.sum("size").alias("size"))
     plan = materialize(quotas(cells, weights, share, repeats, block, seed), "quotas")
     of_source = plan.select("source", "source_size", "target").distinct()
-    line = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("through", F.sum("size").over(line))
     p = plan.select(*[F.col(c).alias(f"p_{c}") for c in plan.columns])
     rows = rows.join(p, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard")), "left")
@@ -135,30 +135,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     rows = rows.withColumn("passes", F.coalesce("p_passes", F.lit(0)))
     s = of_source.select(F.col("source").alias("s_source"), F.col("source_size").alias("s_size"), F.col("target").alias("s_target"))
     # a source without a word has no shard in the plan
-    known = rows.where("p_blocks is not null").select("doc_id", "size", "passes", "spans", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"))
-    rest = rows.where("p_blocks is null").join(s, F.col("source").eqNullSafe(F.col("s_source")), "left").select("doc_id", "size", "passes", "spans", F.coalesce("s_size", F.lit(0)).alias("source_size"), F.coalesce("s_target", F.lit(0.0)).alias("target"))
+    known = rows.where("p_blocks is not null").select("doc_id", "size", "text_key", "passes", "spans", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"))
+    rest = rows.where("p_blocks is null").join(s, F.col("source").eqNullSafe(F.col("s_source")), "left").select("doc_id", "size", "text_key", "passes", "spans", F.coalesce("s_size", F.lit(0)).alias("source_size"), F.coalesce("s_target", F.lit(0.0)).alias("target"))
     taken = F.col("passes") * F.col("size") + F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
-    return known.unionByName(rest).withColumn("taken", taken).select("doc_id", "size", "source_size", "target", "taken", "passes", "spans")
+    return known.unionByName(rest).withColumn("taken", taken).select("doc_id", "size", "source_size", "target", "taken", "passes", "spans", "text_key")
 
 
 def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time that a document, or words of it, is taken.
 
-    Words taken once more keep the white space after them. A row that repeats an earlier one gets that row's share.
-    ``n_chars``, if there, is set to the new length of a cut text.
+    Words taken once more keep the white space after them. A row that repeats an earlier one in id and text gets that row's share; different texts
+    of one id have their own. ``n_chars``, if there, is set to the new length of a cut text. Columns may have any names.
     """
-    plan = mix(docs, **how).where("taken > 0").groupBy("doc_id", "size").agg(F.min(F.struct("taken", "passes", "spans")).alias("m"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("m.passes").alias("_passes"), F.col("m.spans").alias("_spans"))
-    sized_docs = docs.withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    plan = mix(docs, **how).where("taken > 0").groupBy("doc_id", "size", "text_key").agg(F.min(F.struct("taken", "passes", "spans")).alias("m"))
+    plan = plan.select(F.col("doc_id").alias("id"), F.col("size").alias("n"), F.col("text_key").alias("key"), "m.passes", "m.spans")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
     # each word with what follows it; white space before the first word stays with that word
     words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    cut = F.when((F.col("_span")["from"] == 0) & (F.col("_span")["to"] == F.col("_n")), F.col("text")).otherwise(
-        F.array_join(F.slice(words, (F.col("_span")["from"] + 1 + lead).cast("int"), (F.col("_span")["to"] - F.col("_span")["from"]).cast("int")), "")
-    )
-    whole = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("_passes"), F.lit(1).cast("long"))), lambda k: F.struct(F.lit(0).cast("long").alias("from"), F.col("_n").alias("to")))
-    takes = F.concat(F.when(F.col("_passes") > 0, whole).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>")), "_spans")
-    rows = sized_docs.join(plan, sized_docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size"))).withColumn("_span", F.explode(takes)).withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    first, last = F.col("span")["from"], F.col("span")["to"]
+    cut = F.when((first == 0) & (last == F.col("n")), F.col("text")).otherwise(F.array_join(F.slice(words, (first + 1 + lead).cast("int"), (last - first).cast("int")), ""))
+    whole = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("passes"), F.lit(1).cast("long"))), lambda k: F.struct(F.lit(0).cast("long").alias("from"), F.col("n").alias("to")))
+    takes = F.concat(F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>")), "spans")
+    rows = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).withColumn("span", F.explode(takes)).withColumn("cut", cut)
+    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

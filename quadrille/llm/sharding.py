@@ -66,8 +66,16 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = ROW_OVE
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:
-    """Write ``docs`` as a folder for each shard, in the order of its slots."""
-    places = assign_shards(docs.select("doc_id", "text"), **how).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    keyed = docs.withColumn("text_crc32", F.crc32(F.coalesce(utf8("text"), F.lit("").cast("binary"))))
-    joined = keyed.join(places.withColumnRenamed("doc_id", "_id"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["text_crc32"] == places["text_crc32"])).drop("_id", "text_crc32")
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as a folder for each shard, in the order of its slots. Columns may have any names; the folders' key is ``shard``, or the first of ``_shard``, ``__shard``, ... that is free.
+
+    Rows that repeat in id and text lie together and share the place of the first.
+    """
+    places = assign_shards(docs.select("doc_id", "text"), **how).groupBy("doc_id", "text_crc32").agg(F.min(F.struct("shard", "slot")).alias("at"))
+    places = places.select(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc"), "at.shard", "at.slot")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.coalesce(utf8("text"), F.lit("").cast("binary"))).alias("text_crc32"))
+    joined = keyed.join(places, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_crc32") == F.col("crc")))
+    key = "shard"
+    while key in docs.columns:
+        key = f"_{key}"
+    rows = joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("shard").alias(key)).write.partitionBy(key).parquet(path)
