@@ -149,12 +149,13 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """
     plan = mix(docs, **how).where("taken > 0").groupBy("doc_id", "size", "text_key").agg(F.min(F.struct("taken", "passes", "spans")).alias("m"))
     plan = plan.select(F.col("doc_id").alias("id"), F.col("size").alias("n"), F.col("text_key").alias("key"), "m.passes", "m.spans")
-    keyed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
     # each word with what follows it; white space before the first word stays with that word
-    words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    text = F.col("row").getField("text").cast("string")
+    words = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     first, last = F.col("span")["from"], F.col("span")["to"]
-    cut = F.when((first == 0) & (last == F.col("n")), F.col("text")).otherwise(F.array_join(F.slice(words, (first + 1 + lead).cast("int"), (last - first).cast("int")), ""))
+    cut = F.when((first == 0) & (last == F.col("n")), text).otherwise(F.array_join(F.slice(words, (first + 1 + lead).cast("int"), (last - first).cast("int")), ""))
     whole = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("passes"), F.lit(1).cast("long"))), lambda k: F.struct(F.lit(0).cast("long").alias("from"), F.col("n").alias("to")))
     takes = F.concat(F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>")), "spans")
     rows = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).withColumn("span", F.explode(takes)).withColumn("cut", cut)
