@@ -34,6 +34,8 @@ _CHUNK = 65536
 _SMALL = 64
 #: Rows (key, lanes) that one task sorts and compares.
 ROWS_PER_TASK = 1_000_000
+#: Bits of a segment, at most, whose keys are moved as one row.
+PART_BITS = 8
 #: Members, and shingles of theirs, in a block whose pairs one task verifies; a larger group has more blocks.
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1_000_000
@@ -142,16 +144,21 @@ def lane_names(scheme: Scheme) -> list[str]:
     return ["fp", *[f"fp{k}" for k in range(1, scheme.lanes)]]
 
 
-def wildcard_keys(scheme: Scheme) -> list[Column]:
-    """A key for each bit: its segment with that bit struck out, and the number of the bit."""
-    keys = []
+def segment_parts(scheme: Scheme) -> list[Column]:
+    """(value, first, low, width) for each part of a segment: the segment's value, the number of the part's first bit, its place in the segment."""
+    parts = []
     cuts = [64 * k // scheme.segments for k in range(scheme.segments + 1)]
     for lane, name in enumerate(lane_names(scheme)):
         for start, stop in zip(cuts, cuts[1:], strict=False):
-            full = (1 << (stop - start)) - 1
-            value = F.shiftrightunsigned(name, start).bitwiseAND(F.lit(full))
-            keys += [F.shiftleft(value.bitwiseAND(F.lit(full & ~(1 << k))), 12).bitwiseOR(F.lit(64 * lane + start + k)) for k in range(stop - start)]
-    return keys
+            size = stop - start
+            value = F.shiftrightunsigned(name, start).bitwiseAND(F.lit((1 << size) - 1))
+            count = math.ceil(size / PART_BITS)
+            lows = [size * k // count for k in range(count + 1)]
+            parts += [
+                F.struct(value.alias("value"), *[F.lit(x).cast("smallint").alias(n) for n, x in (("first", 64 * lane + start + low), ("low", low), ("width", high - low))])
+                for low, high in zip(lows, lows[1:], strict=False)
+            ]
+    return parts
 
 
 class Forest:
@@ -296,8 +303,17 @@ def _columns(scheme: Scheme) -> list[str]:
     return list(dict.fromkeys([scheme.node, *lane_names(scheme)]))
 
 
-def key_index(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    return fps.select(F.explode(F.array(*wildcard_keys(scheme))).alias("key"), *_columns(scheme))
+def key_index(fps: DataFrame, scheme: Scheme, tasks: int | None = None) -> DataFrame:
+    """(key, node, lanes) for each bit: its segment with that bit struck out, and the number of the bit.
+
+    With ``tasks``, rows of equal keys share one of so many partitions. Keys that strike out bits of one part agree in the rest of the segment, so one
+    row a part is moved and its keys are spelled out where it arrives.
+    """
+    rows = fps.select(F.explode(F.array(*segment_parts(scheme))).alias("part"), *_columns(scheme)).select("part.*", *_columns(scheme))
+    if tasks:
+        rows = rows.repartition(tasks, "first", F.expr("value & ~shiftleft(shiftleft(1L, width) - 1L, low)"))
+    bits = rows.withColumn("bit", F.explode(F.array(*[F.lit(k) for k in range(PART_BITS)]))).where("bit < width")
+    return bits.select(F.expr("shiftleft(value & ~shiftleft(1L, low + bit), 12) | (first + bit)").alias("key"), *_columns(scheme))
 
 
 def _in_blocks(members: DataFrame, scheme: Scheme) -> DataFrame:
@@ -327,21 +343,20 @@ def _spanning(edges: DataFrame) -> DataFrame:
 def links(fps: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """Links (a, b) between nodes that span the components of distinct fingerprints."""
     lanes = lane_names(scheme)
-    index = key_index(fps, scheme)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _in_runs(batches, scheme)
         give_back()
 
     tasks = max(1, math.ceil(fps.count() * 64 * scheme.lanes / ROWS_PER_TASK))
-    found = materialize(index.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, _FOUND), "links")
+    found = materialize(key_index(fps, scheme, tasks).sortWithinPartitions("key").mapInArrow(run, _FOUND), "links")
     edges = _spanning(found.where("a is not null").select("a", "b"))
     big = found.where("big is not null").select(F.col("big").alias("key")).distinct()
     if big.isEmpty():
         return edges
 
     # The exact way for keys over the cap: block i meets block j in a task of its own.
-    pairs = _in_blocks(materialize(index.join(big, "key"), "members"), scheme)
+    pairs = _in_blocks(materialize(key_index(fps, scheme).join(big, "key"), "members"), scheme)
 
     def compare(group: pa.Table) -> pa.Table:
         ids, codes = group.column(scheme.node).to_numpy(), np.stack([group.column(c).to_numpy() for c in lanes], 1)
