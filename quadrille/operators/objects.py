@@ -82,6 +82,11 @@ def large(stats: DataFrame, least_px: int, least_mean: float | None = None) -> D
     return kept if least_mean is None else kept.where(F.col("mean_prob") >= least_mean)
 
 
+def big(stats: DataFrame, pixel_ha: float, least_ha: float = 2.0) -> DataFrame:
+    """Objects of at least so many hectares, with ``area_ha``."""
+    return stats.withColumn("area_ha", F.col("n_px") * F.lit(pixel_ha)).where(F.col("area_ha") >= least_ha)
+
+
 def hits(labelled: DataFrame, kept: DataFrame, truth: DataFrame) -> DataFrame:
     """(blob_id) of kept objects that hold a truth pixel (distinct rows r, c)."""
     return labelled.join(truth.select("r", "c"), ["r", "c"], "left_semi").select("blob_id").distinct().join(kept.select("blob_id"), "blob_id", "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from ..fixtures import Fixtures, duck_view
 from ..functions import scalar
 from ..functions.bands import BANDS, INDICES, index
 from ..grid import GridSpec
-from ..operators import labels, metrics, objects, ranks, similar, terrain, vectors, windows, zonal
+from ..operators import labels, metrics, objects, ranks, similar, summary, terrain, vectors, windows, zonal
+from ..sources import rasters, tables
+from ..storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -633,3 +636,55 @@ def tune_grid(f):
     rows, columns = _training(f)
     settings = {k: models.TUNING[k] for k in ("base", "plain")}
     return rounded(models.tune(rows, columns, settings, trees=5))
+
+
+# --- reports, files
+
+@query(duck("prob", "dsm", "socio") + ", v as (select 'p' layer, p::double v from prob union all select 'z', z::double from dsm union all select 'vuln', vuln::double from socio) select layer, count(*) n, count(v) n_finite, round(min(v), 6) least, round(max(v), 6) most, round(avg(v), 6) mean from v group by layer")
+def layer_summary(f):
+    return rounded(summary.layer_summary({"p": (f.prob, "p"), "z": (f.dsm, "z"), "vuln": (f.socio, "vuln")}))
+
+
+@query(duck("edges", "polygons") + ", a as (select poly_id, sum(case when ring = 0 then a else -a end) area from (select poly_id, part, ring, abs(sum(x1*y2 - x2*y1) / 2) a from edges group by all) group by poly_id) select count(*) n, round(sum(area), 4) area, median(value) median_value from polygons left join a using (poly_id)")
+def polygon_summary(f):
+    return rounded(summary.polygon_summary(vectors.area(f.edges), f.polygons, "value"), area=4)
+
+
+@query(duck("edges", "polypx", "prob") + "select round(avg(case when m.r is null then 0 else 1 end), 9) covered from prob p left join (select distinct r, c from polypx) m on m.r = p.r and m.c = p.c")
+def covered_mean(f):
+    return rounded(summary.covered_mean(f.prob, vectors.mask(f.edges, f.height, f.width)), 9)
+
+
+@query(duck("polygons") + "select poly_id, name from polygons where name is not null order by poly_id limit 3")
+def name_sample(f):
+    return f.polygons.select("poly_id", "name").dropna(subset=["name"]).orderBy("poly_id").limit(3)
+
+
+@query(duck("prob", "comp", "blobs") + "select row_number() over (order by blob_id) - 1 as idx, blob_id, n_px * 0.5::double area_ha from blobs where n_px * 0.5::double >= 2")
+def big_objects(f):
+    """Pixels count half a hectare, so that the fixture's objects reach the bound."""
+    kept = objects.big(objects.sizes(_on(f), f.prob), 0.5)
+    return summary.numbered(kept, "blob_id").select("idx", "blob_id", "area_ha")
+
+
+@query(duck("px", "hh", "win", "wpx", "feat") + "select win_r as row, win_c as col, round(-36::double + 0.001::double * (win_c + 7.5), 4) map_x, round(-9.5::double - 0.001::double * (win_r + 7.5), 4) map_y, round(NDBI_mean, 6) similarity, round(B2_mean, 6) B2_mean, round(NDVI_mean, 6) NDVI_mean from feat")
+def feature_csv_roundtrip(f):
+    """Window features as they are stored, written as CSV to the shared folder and read again."""
+    names = ["B2_mean", "NDVI_mean"]
+    grid = GridSpec(f.width, f.height, a=0.001, c=-36.0, e=-0.001, f=-9.5)
+    rows = tables.with_map_coordinates(_features(f).withColumn("similarity", F.col("NDBI_mean")), names, grid, W)
+    path = f"{shared_dir(f.spark)}/features-{uuid.uuid4().hex}"
+    tables.write_csv(rows, path)
+    return rounded(tables.read_csv(f.spark, path, names), 6, map_x=4, map_y=4)
+
+
+@query(duck("prob", "hh") + "select r, c, floor(p * 64) / 64 v, floor(255 * (floor(p * 64) / 64)) b from prob, hh where r < h")
+def geotiff_roundtrip(f):
+    """A score raster and its byte form, written as GeoTIFF to the shared folder, which this export needs mounted, and read again."""
+    grid = GridSpec(f.width, f.height, a=0.0001, c=-36.0, e=-0.0001, f=-9.5, crs="EPSG:4326")
+    rows = f.prob.where(F.col("r") < f.height).select("r", "c", (F.floor(F.col("p") * 64) / F.lit(64.0)).alias("v"))
+    path = f"{shared_dir(f.spark).removeprefix('file://')}/scores-{uuid.uuid4().hex}"
+    rasters.write_raster(rows, "v", f"{path}.tif", grid)
+    rasters.write_raster(rows, "v", f"{path}-bytes.tif", grid, dtype="uint8")
+    layers = {"v": rasters.read_raster(f.spark, f"{path}.tif"), "b": rasters.read_raster(f.spark, f"{path}-bytes.tif")}
+    return rasters.stack(layers)
