@@ -512,3 +512,24 @@ def test_lines_of_the_other_kind_are_marked_within_a_text(spark):
         right, total = right + sum(a == b for a, b in zip(got, want, strict=True)), total + len(want)
         found, planted = found + sum(a and b for a, b in zip(got, want, strict=True)), planted + len(bad)
     assert right >= 0.92 * total and found >= 0.55 * planted
+
+
+@pytest.mark.parametrize("scheme", [simhash.Scheme(), simhash.NEAR_COPIES], ids=["query", "pipeline"])
+def test_key_index_holds_each_struck_out_bit_once_and_keeps_keys_together(spark, scheme):
+    import random
+
+    draw = random.Random(1)
+    rows = [(i, *[draw.getrandbits(64) - 2**63 for _ in range(3)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "node long, fp long, fp1 long, fp2 long").select(*simhash._columns(scheme))
+    cuts = [64 * k // scheme.segments for k in range(scheme.segments + 1)]
+    want = []
+    for r in df.collect():
+        for lane, name in enumerate(simhash.lane_names(scheme)):
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                value = (r[name] % 2**64 >> start) & ((1 << (stop - start)) - 1)
+                want += [(((value & ~(1 << k)) << 12) | (64 * lane + start + k), r[scheme.node]) for k in range(stop - start)]
+    for tasks in (None, 7):
+        got = simhash.key_index(df, scheme, tasks).select("key", scheme.node, F.spark_partition_id().alias("task")).collect()
+        assert sorted((x[0], x[1]) for x in got) == sorted(want)
+        if tasks:
+            assert len({(x[0], x[2]) for x in got}) == len({x[0] for x in got})
