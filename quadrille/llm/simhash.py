@@ -5,6 +5,9 @@ segments, and for each segment and each of its bits, the segment with that bit s
 one bit in some segment share a key; all that share one are compared. With more than half as many segments as differing bits that are
 allowed, no link can be missed (three segments for four bits, the default).
 
+Keys of one segment are short, and a million fingerprints meet strangers at each. So beyond some millions, a key holds several of more segments,
+by every choice of so many (two of five, three of six and so on): for four bits, one choice always differs by at most one, and the links are the same.
+
 A group of near copies is written as a spanning forest, never as all its pairs. A key that more than ``run_cap`` fingerprints share (only
 distinct fingerprints are indexed) is not cut short: its members are cut into blocks, and each pair of blocks is compared in a task of its own.
 
@@ -19,7 +22,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +56,24 @@ class Scheme:
     segments: int = 3  # in each lane
     similarity: float | None = None
     run_cap: int = RUN_CAP
+    joined: int = 1  # segments in a key
+
+    def __post_init__(self):
+        if self.keys >= 4095:
+            raise ValueError(f"{self.keys} keys a fingerprint; 4094 is the most that a key's number can tell apart")
+
+    @property
+    def keys(self) -> int:
+        """Keys of a fingerprint: one for each bit of each choice of segments."""
+        return 64 * self.lanes * math.comb(self.segments - 1, self.joined - 1)
+
+    def widened(self, n: int) -> Scheme:
+        """The scheme for ``n`` fingerprints: as complete, its keys long enough that a fingerprint has the fewest keys and strangers at them in all."""
+        if not self.complete or self.lanes > 1 or self.joined > 1:
+            return self
+        longer = [(j, self.max_bits + j - 1) for j in range(2, 7)]
+        known = [self, *[replace(self, joined=j, segments=s) for j, s in longer if s > j and 64 * math.comb(s - 1, j - 1) < 4095]]
+        return min(known, key=lambda x: x.keys * (1 + n / 2 ** (64 * x.joined // x.segments - 1)))
 
     @property
     def node(self) -> str:
@@ -60,7 +83,10 @@ class Scheme:
     @property
     def complete(self) -> bool:
         """Whether the segments are enough to miss no link."""
-        return 2 * self.segments * self.lanes > self.max_bits
+        least = 2 * (self.segments - self.joined + 1)  # bits that leave no choice of segments with one or none
+        if self.joined > 1:
+            least = min(least, self.segments - self.joined + 2)
+        return least * self.lanes > self.max_bits
 
 
 #: Five-word shingles at a similarity of 0.8: such pairs differ by 29 of 192 bits on average, three standard deviations from 44.
@@ -144,20 +170,32 @@ def lane_names(scheme: Scheme) -> list[str]:
     return ["fp", *[f"fp{k}" for k in range(1, scheme.lanes)]]
 
 
-def segment_parts(scheme: Scheme) -> list[Column]:
-    """(value, first, low, width) for each part of a segment: the segment's value, the number of the part's first bit, its place in the segment."""
-    parts = []
+def choices(scheme: Scheme) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(lane, first, segments) for each choice of segments that are joined to a key: the number of its first bit, and (start, size, place in the key)."""
     cuts = [64 * k // scheme.segments for k in range(scheme.segments + 1)]
-    for lane, name in enumerate(lane_names(scheme)):
-        for start, stop in zip(cuts, cuts[1:], strict=False):
-            size = stop - start
-            value = F.shiftrightunsigned(name, start).bitwiseAND(F.lit((1 << size) - 1))
-            count = math.ceil(size / PART_BITS)
-            lows = [size * k // count for k in range(count + 1)]
-            parts += [
-                F.struct(value.alias("value"), *[F.lit(x).cast("smallint").alias(n) for n, x in (("first", 64 * lane + start + low), ("low", low), ("width", high - low))])
-                for low, high in zip(lows, lows[1:], strict=False)
-            ]
+    first = 0
+    for lane in range(scheme.lanes):
+        for chosen in combinations(zip(cuts, cuts[1:], strict=False), scheme.joined):
+            place, spans = 0, []
+            for start, stop in chosen:
+                spans.append((start, stop - start, place))
+                place += stop - start
+            yield lane, first, spans
+            first += place
+
+
+def segment_parts(scheme: Scheme) -> list[Column]:
+    """(value, first, low, width) for each part of a choice of segments: their joined value, the number of the part's first bit, its place in the value."""
+    parts, names = [], lane_names(scheme)
+    for lane, first, spans in choices(scheme):
+        taken = [F.shiftleft(F.shiftrightunsigned(names[lane], start).bitwiseAND(F.lit((1 << size) - 1).cast("long")), place) for start, size, place in spans]
+        value, width = reduce(Column.bitwiseOR, taken), sum(size for _, size, _ in spans)
+        count = math.ceil(width / PART_BITS)
+        lows = [width * k // count for k in range(count + 1)]
+        parts += [
+            F.struct(value.alias("value"), *[F.lit(x).cast("smallint").alias(n) for n, x in (("first", first + low), ("low", low), ("width", high - low))])
+            for low, high in zip(lows, lows[1:], strict=False)
+        ]
     return parts
 
 
@@ -189,14 +227,14 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def first_shared(x: np.ndarray, y: np.ndarray, scheme: Scheme) -> np.ndarray:
     """Number of the bit whose key is the first of those that each pair of fingerprints shares; 4095 if none."""
     z = x ^ y
-    first = np.full(z.shape[:-1], 4095, np.int64)
-    cuts = [64 * k // scheme.segments for k in range(scheme.segments + 1)]
-    for lane in range(scheme.lanes - 1, -1, -1):
-        for start, stop in reversed(list(zip(cuts, cuts[1:], strict=False))):
-            value = (z[..., lane] >> np.uint64(start)) & np.uint64((1 << (stop - start)) - 1)
-            bit = 64 * lane + start + np.bitwise_count(value - (value > 0)).astype(np.int64)  # of a power of two, its place
-            first = np.where(np.bitwise_count(value) <= 1, bit, first)
-    return first
+    shared = np.full(z.shape[:-1], 4095, np.int64)
+    for lane, first, spans in reversed(list(choices(scheme))):
+        value = np.zeros(z.shape[:-1], np.uint64)
+        for start, size, place in spans:
+            value |= ((z[..., lane] >> np.uint64(start)) & np.uint64((1 << size) - 1)) << np.uint64(place)
+        bit = first + np.bitwise_count(value - (value > 0)).astype(np.int64)  # of a power of two, its place
+        shared = np.where(np.bitwise_count(value) <= 1, bit, shared)
+    return shared
 
 
 def _link_bits(x: np.ndarray, y: np.ndarray, key_bit: int, scheme: Scheme) -> np.ndarray:
@@ -348,7 +386,9 @@ def links(fps: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
         yield from _in_runs(batches, scheme)
         give_back()
 
-    tasks = max(1, math.ceil(fps.count() * 64 * scheme.lanes / ROWS_PER_TASK))
+    count = fps.count()
+    scheme = scheme.widened(count)
+    tasks = max(1, math.ceil(count * scheme.keys / ROWS_PER_TASK))
     found = materialize(key_index(fps, scheme, tasks).sortWithinPartitions("key").mapInArrow(run, _FOUND), "links")
     edges = _spanning(found.where("a is not null").select("a", "b"))
     big = found.where("big is not null").select(F.col("big").alias("key")).distinct()

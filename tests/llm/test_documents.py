@@ -149,8 +149,8 @@ def test_simhash_equals_brute_force(spark, sf, docs):
     assert out.component_id.tolist() == slow_components(fps, docs.doc_id.tolist(), 4)
 
 
-@pytest.mark.parametrize("cap", [4096, 6])
-def test_near_fingerprints_are_all_found(spark, cap):
+@pytest.mark.parametrize(("cap", "segments", "joined"), [(4096, 3, 1), (6, 3, 1), (4096, 5, 2), (6, 5, 2), (4096, 8, 5)])
+def test_near_fingerprints_are_all_found(spark, cap, segments, joined):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
     near = base[rng.integers(0, 6, 400)]
@@ -158,20 +158,22 @@ def test_near_fingerprints_are_all_found(spark, cap):
         near = near ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) * (rng.random(400) < 0.6)
     fps = np.unique(np.concatenate([base, near]))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    got = {r["a"]: r["b"] for r in simhash.components(simhash.links(df, simhash.Scheme(run_cap=cap))).collect()}
+    got = {r["a"]: r["b"] for r in simhash.components(simhash.links(df, simhash.Scheme(run_cap=cap, segments=segments, joined=joined))).collect()}
     signed = fps.view(np.int64).tolist()
     assert [got.get(x, x) for x in signed] == slow_components(fps, signed, 4)
 
 
-def test_keys_meet_whenever_the_segments_suffice():
+@pytest.mark.parametrize("n", [0, 200_000, 10**7, 10**9, 10**12])
+def test_keys_meet_whenever_the_segments_suffice(n):
     rng = np.random.default_rng(4)
-    s = simhash.Scheme()
-    assert s.complete and not simhash.NEAR_COPIES.complete
+    s = simhash.Scheme().widened(n)
+    assert s.complete and not simhash.NEAR_COPIES.complete and simhash.NEAR_COPIES.widened(n) is simhash.NEAR_COPIES
+    assert s.joined == {0: 1, 200_000: 1, 10**7: 2, 10**9: 3}.get(n, 6) and not simhash.Scheme(segments=s.segments - 1, joined=s.joined).complete
     a = rng.integers(0, 2**63, 2000, dtype=np.uint64)
     b = a.copy()
     for _ in range(4):
         b ^= np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64)
-    assert (simhash.first_shared(a[:, None], b[:, None], s) < 64).all()
+    assert (simhash.first_shared(a[:, None], b[:, None], s) < s.keys).all()
 
 
 def test_simhash_edges(spark):
@@ -514,20 +516,25 @@ def test_lines_of_the_other_kind_are_marked_within_a_text(spark):
     assert right >= 0.92 * total and found >= 0.55 * planted
 
 
-@pytest.mark.parametrize("scheme", [simhash.Scheme(), simhash.NEAR_COPIES], ids=["query", "pipeline"])
+@pytest.mark.parametrize("scheme", [simhash.Scheme(), simhash.NEAR_COPIES, simhash.Scheme(segments=5, joined=2)], ids=["query", "pipeline", "joined"])
 def test_key_index_holds_each_struck_out_bit_once_and_keeps_keys_together(spark, scheme):
+    import itertools
     import random
 
     draw = random.Random(1)
     rows = [(i, *[draw.getrandbits(64) - 2**63 for _ in range(3)]) for i in range(200)]
     df = spark.createDataFrame(rows, "node long, fp long, fp1 long, fp2 long").select(*simhash._columns(scheme))
     cuts = [64 * k // scheme.segments for k in range(scheme.segments + 1)]
+    groups = list(itertools.combinations([list(range(*x)) for x in zip(cuts, cuts[1:], strict=False)], scheme.joined))
     want = []
     for r in df.collect():
-        for lane, name in enumerate(simhash.lane_names(scheme)):
-            for start, stop in zip(cuts, cuts[1:], strict=False):
-                value = (r[name] % 2**64 >> start) & ((1 << (stop - start)) - 1)
-                want += [(((value & ~(1 << k)) << 12) | (64 * lane + start + k), r[scheme.node]) for k in range(stop - start)]
+        first = 0
+        for name in simhash.lane_names(scheme):
+            for bits in [sum(g, []) for g in groups]:
+                value = sum((r[name] % 2**64 >> bit & 1) << at for at, bit in enumerate(bits))
+                want += [(((value & ~(1 << k)) << 12) | (first + k), r[scheme.node]) for k in range(len(bits))]
+                first += len(bits)
+        assert first == scheme.keys
     for tasks in (None, 7):
         got = simhash.key_index(df, scheme, tasks).select("key", scheme.node, F.spark_partition_id().alias("task")).collect()
         assert sorted((x[0], x[1]) for x in got) == sorted(want)
