@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -108,6 +110,30 @@ def test_labels_do_not_depend_on_tiles(spark, tile):
     assert {(x["r"], x["c"]): x["blob_id"] for x in objects.label(on, 31, tile).collect()} == want
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_a_mean_at_the_threshold_is_kept_in_any_order_of_rows(spark, broadcast):
+    at = [list(x) for x in itertools.permutations((0.701, 0.999, 0.653, 0.887, 0.756, 0.804))]
+    under = [0.701, 0.999, 0.653, 0.887, 0.756, 0.803]
+    rows = [(b, i, b, p) for b, x in enumerate([*at, under]) for i, p in enumerate(x)]
+    px = spark.createDataFrame(rows, "r int, c int, blob_id long, p double").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = {x["blob_id"]: x["mean_prob"] for x in objects.large(objects.sizes(px.drop("p"), px.drop("blob_id")), 5, 0.8).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == dict.fromkeys(range(720), 0.8)
+
+
+def test_exact_mean_of_values_that_no_decimal_holds(spark):
+    nan, inf = float("nan"), float("inf")
+    groups = {0: [None, None], 1: [0.5, None, 0.7], 2: [nan, 0.5], 3: [inf, 0.5], 4: [1e300, 3e300], 5: [1e-30, 3e-30], 6: [-0.25, 0.1 + 0.2], 7: [1 / 3] * 3, 8: [1e11, 0.5]}
+    df = spark.createDataFrame([(k, v) for k, x in groups.items() for v in x], "k int, p double")
+    got = {x["k"]: x["m"] for x in df.groupBy("k").agg(objects.exact_mean("p").alias("m")).collect()}
+    assert got.pop(0) is None and np.isnan(got.pop(2))
+    assert got == pytest.approx({1: 0.6, 3: inf, 4: 2e300, 5: 2e-30, 6: (0.1 + 0.2 - 0.25) / 2, 7: 1 / 3, 8: (1e11 + 0.5) / 2}, rel=1e-15, abs=0)
+
+
 def test_outlines_have_the_area_of_their_objects(spark):
     a = np.random.default_rng(6).random((25, 25)) < 0.6
     on = objects.label(spark.createDataFrame([(int(r), int(c)) for r, c in np.argwhere(a)], "r int, c int"), 25)
