@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialize, ship
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with its path.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Words of unwanted sites, and everyday words of host names, that the word model knows beforehand.
 SEED_BAD = ("casino", "poker", "bet", "bets", "betting", "slots", "jackpot", "gambling", "pills", "viagra", "pharma", "adult", "porn", "sex", "xxx", "nude", "escort", "spam", "malware", "phishing", "warez", "torrent", "crack", "ads", "adserver", "tracker", "tracking", "loan", "payday")
 SEED_PLAIN = ("cheap", "free", "win", "farm", "track", "online", "best", "top", "shop", "store", "news", "blog", "mail", "home", "web", "site", "page", "my", "the", "click", "data", "info", "world", "live", "game", "games", "play", "health", "med", "meds", "book", "food", "city", "school", "learn", "tech", "code", "music", "video", "photo", "art", "x")
